@@ -40,7 +40,7 @@ def gram_counts(
     per_word = (
         placed.select("id", F.explode(words(F.col("text"))).alias("word"))
         .groupBy("id", "word")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("*").alias("n"))
     )
     return (
         per_word.select("id", "n", F.explode(word_grams(F.col("word"), lo, hi)).alias("gram"))
@@ -55,7 +55,7 @@ def gram_vocab(
     """(gram, df) for grams in at least ``min_df`` texts and at most a ``max_df`` share."""
     return (
         counts.groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count("*").alias("df"))
         .where((F.col("df") >= min_df) & (F.col("df") <= n_docs * max_df))
     )
 
@@ -66,7 +66,7 @@ def gram_idf(vocab: DataFrame, n_docs: Column) -> DataFrame:
 
 
 def n_rows(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1))).scalar()
+    return df.agg(F.count("*")).scalar()
 
 
 def fit_idf(
@@ -125,7 +125,7 @@ def word_vocab(df: DataFrame, text_col: str, size: int) -> DataFrame:
     top = (
         df.select(F.explode(words(F.col(text_col))).alias("word"))
         .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("*").alias("n"))
         .orderBy(F.desc("n"), "word")
         .limit(size)
     )
@@ -175,7 +175,7 @@ def truncation_profile(df: DataFrame, text_col: str, max_len: int) -> DataFrame:
     lengths = (
         df.select((F.size(words(F.col(text_col))) + 2).alias("len"))
         .groupBy("len")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("*").alias("n"))
     )  # as many rows as there are different lengths
     cut = F.sum(F.when(F.col("len") > max_len, F.col("n")).otherwise(0))
     q = F.expr("percentile(len, array(0.5D, 0.9D, 0.99D), n)")

@@ -73,7 +73,7 @@ def encode_class(
     ``max_classes`` values) is refused instead of being numbered there.
     """
     seen = df.where(F.col(col).isNotNull()).select(col).distinct()
-    size = seen.agg(F.count(F.lit(1))).scalar()
+    size = seen.agg(F.count("*")).scalar()
     checked = F.when(
         size > max_classes, F.raise_error(F.lit(f"more than {max_classes} classes in {col}"))
     ).otherwise(F.lit(True))

@@ -107,7 +107,7 @@ def batched_mean(df: DataFrame, value: Column, size: int, id_col: str = "id") ->
 
 def confusion(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
     return df.groupBy(F.col(y).alias("y"), F.col(pred).alias("pred")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.count("*").alias("n")
     )
 
 
@@ -244,7 +244,7 @@ def early_stop(
     )
     earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy(*keys, "__b").agg(
-        F.count(F.lit(1)).alias("__n"), F.min("v").alias("__low")
+        F.count("*").alias("__n"), F.min("v").alias("__low")
     ).select(
         *keys, "__b",
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0"),

@@ -34,7 +34,7 @@ def _bucketed_position(
     )
     sizes = (
         df.groupBy(*by, _BUCKET)
-        .agg(F.count(F.lit(1)).alias("__n"))
+        .agg(F.count("*").alias("__n"))
         .withColumn(_BEFORE, F.coalesce(F.sum("__n").over(before), F.lit(0)))
         .select(*[F.col(c).alias(f"__by_{c}") for c in by],
                 F.col(_BUCKET).alias("__b"), _BEFORE)
@@ -66,6 +66,55 @@ def hashed_rank(
     return _bucketed_position(keyed, by, [F.col(_ORDER), F.col(id_col)], out)
 
 
+def hash_cutoffs(
+    df: DataFrame, id_col: str, seed: int | str, positions: Sequence[Column]
+) -> Column:
+    """The (hash, id) keys standing at the given 1-based positions of the hashed order.
+
+    Bucket sizes tell which bucket holds each position; only those few buckets are ordered.
+    The result is a scalar array in order, without positions that do not exist.
+    """
+    keyed = df.select(
+        F.col(id_col).alias("__id"), hash_order(id_col, seed).alias(_ORDER)
+    ).withColumn(_BUCKET, F.substring(_ORDER, 1, HEX_DIGITS))
+    upto = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = (
+        keyed.groupBy(_BUCKET).agg(F.count("*").alias("__n"))
+        .withColumn("__upto", F.sum("__n").over(upto))
+        .select(
+            F.col(_BUCKET).alias("__b"), (F.col("__upto") - F.col("__n")).alias(_BEFORE),
+            F.explode(F.array(*[p.cast("bigint") for p in positions])).alias("__at"),
+            "__upto",
+        )
+        .where((F.col("__at") > F.col(_BEFORE)) & (F.col("__at") <= F.col("__upto")))
+        .groupBy("__b").agg(F.first(_BEFORE).alias(_BEFORE), F.collect_set("__at").alias("__ats"))
+    )
+    inside = Window.partitionBy(_BUCKET).orderBy(_ORDER, "__id")
+    placed = (
+        keyed.join(F.broadcast(held), F.col(_BUCKET) == F.col("__b"))
+        .withColumn("__place", F.col(_BEFORE) + F.row_number().over(inside))
+        .where(F.array_contains("__ats", F.col("__place")))
+    )
+    keys = F.collect_list(F.struct(F.col(_ORDER).alias("h"), F.col("__id").alias("i")))
+    return placed.agg(F.array_sort(keys)).scalar()
+
+
+def hash_key(id_col: str, seed: int | str) -> Column:
+    """A row's own key, comparable with ``hash_cutoffs``."""
+    return F.struct(hash_order(id_col, seed).alias("h"), F.col(id_col).alias("i"))
+
+
+def among_first(df: DataFrame, id_col: str, seed: int | str, wanted: Column) -> Column:
+    """True for exactly the first ``wanted`` rows of the hashed order (all, if fewer).
+
+    The rows themselves are neither moved nor sorted: each is compared with one key.
+    """
+    total = df.agg(F.count("*")).scalar()
+    last = hash_cutoffs(df, id_col, seed, [wanted])
+    inside = F.when(F.size(last) == 0, False).otherwise(hash_key(id_col, seed) <= F.get(last, F.lit(0)))
+    return (wanted >= total) | inside
+
+
 def id_bucket(df: DataFrame, id_col: str, buckets: int = ID_BUCKETS) -> Column:
     """Equal-width id ranges: ids are unique, so no bucket can outgrow its width."""
     lo = df.agg(F.min(id_col)).scalar()
@@ -113,7 +162,7 @@ def ordinal_rank(df: DataFrame, score: str, id_col: str, out: str = "rank") -> D
     """
     order = [F.col(score).asc_nulls_last(), F.col(id_col).asc()]
     staged = range_positions(df, order, "ordinal_rank")
-    sizes = before_part(staged, F.count(F.lit(1)))
+    sizes = before_part(staged, F.count("*"))
     return (
         staged.join(F.broadcast(sizes), "__part")
         .withColumn(out, (F.col(_BEFORE) + F.col("__pos")).cast("bigint"))
@@ -129,7 +178,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFr
     """
     counted = (
         df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("*").alias("n"))
     )
     staged = range_positions(counted, [F.col("v").asc()], "exact_quantiles")
     sizes = before_part(staged, F.sum("n"))

@@ -42,7 +42,7 @@ def coef_sql(fold: int) -> str:
 def char_wb_ngrams(spark, sf_dir):
     counts = V.gram_counts(docs(spark, sf_dir), "id", "text")
     return counts.groupBy("id").agg(
-        F.sum("tf").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"),
+        F.sum("tf").alias("n_grams"), F.count("*").alias("n_distinct"),
         F.max("tf").alias("top_tf"), F.min("gram").alias("first_gram"),
         F.max("gram").alias("last_gram"),
     )
@@ -67,7 +67,7 @@ SUMMARY = """
 def summary(weights):
     w = F.col("weight")
     return weights.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_grams"), F.round(F.sum(w), 6).alias("weight_sum"),
+        F.count("*").alias("n_grams"), F.round(F.sum(w), 6).alias("weight_sum"),
         F.round(F.max(w), 6).alias("weight_max"), F.round(F.sum(w * w), 6).alias("norm"),
     )
 

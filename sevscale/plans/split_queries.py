@@ -11,7 +11,7 @@ from sevscale.operators.metrics import fold_mean
 from sevscale.operators.ranking import ordinal_rank
 from sevscale.plans.catalog import query
 from sevscale.plans.frames_sql import over
-from sevscale.plans.label_queries import gated, rated_labels
+from sevscale.plans.label_queries import flag_parts, gated, rated_labels
 from sevscale.sources import frames
 from sevscale.sources.tables import read_table
 
@@ -28,9 +28,17 @@ def sample_n(spark, sf_dir):
 
 @query("sample_frac", """
     SELECT doc_id AS id FROM documents
-    WHERE substr(md5('1:' || doc_id), 1, 8) < '19999999'""")
+    QUALIFY row_number() OVER (ORDER BY md5('1:' || doc_id), doc_id)
+      <= round_even(0.15 * count(*) OVER (), 0)""")
 def sample_frac(spark, sf_dir):
-    return splits.sample_frac(doc_ids(spark, sf_dir), 0.1)
+    return splits.sample_frac(doc_ids(spark, sf_dir), 0.15)
+
+
+@query("sample_frac_approximate", """
+    SELECT doc_id AS id FROM documents
+    WHERE substr(md5('1:' || doc_id), 1, 8) < '19999999'""")
+def sample_frac_approximate(spark, sf_dir):
+    return splits.sample_frac(doc_ids(spark, sf_dir), 0.1, exact=False)
 
 
 @query("kfold_assign", """
@@ -105,6 +113,24 @@ def undersample_flags(spark, sf_dir):
     return splits.undersample(rows, F.col("y") >= 1, F.col("y") == 0)
 
 
+@query("undersample_parts", over("severity", """
+    WITH parts AS (SELECT id, y, id % 4 = 0 AS part FROM severity),
+    wanted AS (SELECT part, floor(1.5 * count(*)) AS n FROM parts WHERE y >= 1 GROUP BY part),
+    drawn AS (SELECT id, y, part, row_number() OVER (
+        PARTITION BY part ORDER BY md5('201:' || id), id) AS r FROM parts WHERE y = 0)
+    SELECT id, y FROM parts WHERE y >= 1
+    UNION ALL SELECT d.id, d.y FROM drawn d JOIN wanted USING (part) WHERE r <= n"""))
+def undersample_parts(spark, sf_dir):
+    """Train and test part drawn on their own, then appended."""
+    parts = [
+        splits.undersample(
+            ops.severity_max_weighted(part).select("id", "y"), F.col("y") >= 1, F.col("y") == 0
+        )
+        for part in flag_parts(rated_labels(spark, sf_dir))
+    ]
+    return ops.append_parts(*parts)
+
+
 @query("undersample_gated", over("gated", """
     WITH wanted AS (SELECT floor(1.5 * count(*)) AS n FROM gated WHERE y > 0.5),
     drawn AS (SELECT id, y, row_number() OVER (ORDER BY md5('201:' || id), id) AS r

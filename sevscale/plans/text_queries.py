@@ -98,4 +98,4 @@ def normalize_punct(spark, sf_dir):
 @query("as_text", "SELECT user_id::VARCHAR AS user_text, count(*) AS n FROM events GROUP BY 1")
 def as_text(spark, sf_dir):
     ids = read_table(spark, sf_dir, "events").select(T.as_text(F.col("user_id")).alias("user_text"))
-    return ids.groupBy("user_text").agg(F.count(F.lit(1)).alias("n"))
+    return ids.groupBy("user_text").agg(F.count("*").alias("n"))

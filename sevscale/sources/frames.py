@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sevscale.functions.labels import SIX_FLAGS
 from sevscale.operators.ranking import id_rank
 from sevscale.sources.tables import read_table
 
@@ -20,9 +19,8 @@ def _every(n: int, base: Column) -> Column:
     return base & (F.col("doc_id") % n == 0)
 
 
-def flag_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six 0/1 flags per document; -1 everywhere for a document nobody labelled."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id")
+def _flags(spark: SparkSession, sf_dir: str, *texts: Column) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", *texts)
     rated = docs.join(read_table(spark, sf_dir, "labels"), "doc_id", "left")
     toxic = F.col("toxic") == 1
     mild = (F.col("toxic") == 0) & (F.col("quality") == 0)
@@ -35,6 +33,7 @@ def flag_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     return rated.select(
         F.col("doc_id").alias("id"),
+        *[c for c in docs.columns if c != "doc_id"],
         F.coalesce("toxic", F.lit(-1)).alias("toxic"),
         *[
             F.when(F.col("toxic").isNull(), -1).when(hit, 1).otherwise(0).alias(name)
@@ -43,20 +42,21 @@ def flag_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and six 0/1 flags per document; -1 everywhere for a document nobody labelled."""
+    return _flags(spark, sf_dir, F.col("text").alias("comment_text"))
+
+
+def flag_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flags(spark, sf_dir)
+
+
 def flag_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"), F.col("text").alias("comment_text")
     )
 
 
-def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        flag_texts(spark, sf_dir)
-        .join(flag_labels(spark, sf_dir), "id")
-        .select("id", "comment_text", *SIX_FLAGS)
-    )
-
-
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fractional scores per document and the number of annotators behind them."""
     doc = F.col("doc_id")
@@ -97,7 +97,7 @@ def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     more = rated.where("toxic = 1").select(F.col("doc_id").alias("more_id"))
     less = rated.where("toxic = 0").select(F.col("doc_id").alias("less_id"))
-    n_more = more.agg(F.count(F.lit(1))).scalar()
+    n_more = more.agg(F.count("*")).scalar()
     more = id_rank(more, "more_id", "rn").select("more_id", (F.col("rn") - 1).alias("slot"))
     less = id_rank(less, "less_id", "rn").withColumn("pair_id", F.col("rn") - 1)
     return (
