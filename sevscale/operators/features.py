@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sevscale.functions.grams import word_grams
+from sevscale.functions.grams import PIECE, padded, pieces
 from sevscale.functions.text import words
 
 LO, HI = 4, 6
@@ -42,10 +42,25 @@ def gram_counts(
         .groupBy("id", "word")
         .agg(F.count("*").alias("n"))
     )
+    return _gram_rows(per_word, lo, hi).groupBy("id", "gram").agg(F.sum("n").alias("tf"))
+
+
+def _gram_rows(per_word: DataFrame, lo: int, hi: int) -> DataFrame:
+    """(id, n, gram) rows of (id, word, n): one row per window start, then one per length.
+
+    Plain generators stay in generated code, unlike nested array functions.
+    """
+    size, start = F.char_length("piece"), F.col("start")
+    last = F.greatest(F.lit(1), F.least(F.lit(PIECE), size - lo + 1))
+    windows = [F.substring("piece", start, F.lit(lo))] + [
+        F.when(start + (n - 1) <= size, F.substring("piece", start, F.lit(n)))
+        for n in range(lo + 1, hi + 1)
+    ]
     return (
-        per_word.select("id", "n", F.explode(word_grams(F.col("word"), lo, hi)).alias("gram"))
-        .groupBy("id", "gram")
-        .agg(F.sum("n").alias("tf"))
+        per_word.select("id", "n", F.explode(pieces(padded(F.col("word")), lo, hi)).alias("piece"))
+        .select("id", "n", "piece", F.explode(F.sequence(F.lit(1), last)).alias("start"))
+        .select("id", "n", F.explode(F.array(*windows)).alias("gram"))
+        .where(F.col("gram").isNotNull())
     )
 
 
@@ -78,12 +93,16 @@ def fit_idf(
 
 
 def tfidf_weights(counts: DataFrame, model: DataFrame) -> DataFrame:
-    """(id, gram, tf, weight): tf * idf, unit length per text; unknown grams vanish."""
-    raw = counts.join(model.select("gram", "idf"), "gram").select(
-        "id", "gram", "tf", (F.col("tf") * F.col("idf")).alias("w")
+    """(id, gram, tf, weight): tf * idf, unit length per text; unknown grams vanish.
+
+    Where the model numbers its grams, the number comes along as ``slot``.
+    """
+    extra = ["slot"] if "slot" in model.columns else []
+    raw = counts.join(model.select("gram", "idf", *extra), "gram").select(
+        "id", "gram", *extra, "tf", (F.col("tf") * F.col("idf")).alias("w")
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return raw.select("id", "gram", "tf", F.try_divide(F.col("w"), norm).alias("weight"))
+    return raw.select("id", "gram", *extra, "tf", F.try_divide(F.col("w"), norm).alias("weight"))
 
 
 def tfidf_transform(model: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -92,18 +111,18 @@ def tfidf_transform(model: DataFrame, df: DataFrame, id_col: str, text_col: str)
 
 def linear_scores(
     weights: DataFrame, coefs: DataFrame, ids: DataFrame, models: Sequence[str],
-    intercepts: Sequence[float] | None = None,
+    intercepts: Sequence[float] | None = None, key: str = "gram",
 ) -> DataFrame:
     """One score column per model for every id, from one join of all models' coefficients.
 
-    ``coefs`` holds (gram, one column per model).  Texts without a known gram still get
+    ``coefs`` holds (``key``, one column per model).  Texts without a known gram still get
     the intercepts.
     """
     if not models:
         raise ValueError("no models to score with")
     base = list(intercepts) if intercepts is not None else [0.0] * len(models)
     summed = (
-        weights.join(coefs.select("gram", *models), "gram")
+        weights.join(coefs.select(key, *models), key)
         .groupBy("id")
         .agg(*[F.sum(F.col("weight") * F.col(m)).alias(m) for m in models])
     )
