@@ -10,7 +10,7 @@ from sevscale.plans.frames_sql import over
 from sevscale.plans.metric_queries import r6
 from sevscale.sources import comments, frames
 from sevscale.sources.staging import staged_path
-from sevscale.sources.tables import read_table
+from sevscale.sources.tables import read_table, spread
 
 MODELS = [f"m{f}" for f in range(frames.FOLDS)]
 
@@ -132,7 +132,8 @@ VOCAB_SIZE, MAX_LEN = 1000, 64
       coalesce(n, 0) + 2 AS used FROM w LEFT JOIN b ON w.id = b.id""")
 def encode_fixed(spark, sf_dir):
     texts = docs(spark, sf_dir)
-    coded = V.encode_fixed(texts, "id", "text", V.word_vocab(texts, "text", VOCAB_SIZE), MAX_LEN)
+    vocab = V.word_vocab(spread(texts, "id"), "text", VOCAB_SIZE)
+    coded = V.encode_fixed(texts, "id", "text", vocab, MAX_LEN)
     used = F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, m: a + m)
     return coded.select(
         "id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sevscale.functions import text as T
 from sevscale.plans.catalog import query
-from sevscale.sources.tables import read_table
+from sevscale.sources.tables import read_table, spread
 
 URL = r"https?://\S+|www\.\S+"
 MARKUP = (
@@ -52,11 +52,11 @@ def punct_normalized(text: str) -> str:
 
 
 def documents(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def pages(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select("page_id", "html")
+    return spread(read_table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
 
 
 @query("clean_text", f"SELECT doc_id, {cleaned('text')} AS text FROM documents")
