@@ -30,6 +30,10 @@ def staged_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str = "frame") -> DataFrame:
     """Write the frame once and hand back a reader of what was written."""
-    path = staged_path(df.sparkSession, name)
-    df.write.parquet(path)
+    return stage_at(df, staged_path(df.sparkSession, name))
+
+
+def stage_at(df: DataFrame, path: str) -> DataFrame:
+    """Stage at a given path, in place of what an earlier round left there."""
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
