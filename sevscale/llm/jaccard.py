@@ -9,11 +9,12 @@ for all sets.  Candidates must do so under several orders at once; only then are
    into rare and shared ones.  A class whose prefix under "chosen tokens first, rare ones before
    shared ones" holds rare tokens only has no partner.  This leaves the few classes that might.
 3. These classes' prefixes are cut under orders that put rare tokens first and break ties by
-   different hashes.  In each group that shares a prefix token of the first order, members
+   different hashes.  A pair's common tokens must lie where both sizes leave room for the
+   overlap they need.  In each group that shares a prefix token of the first order, members
    are compared with one pivot, so a group of near copies takes as many comparisons as it
-   has members.
-4. After linking, only groups that still span several components give further pairs, between
-   different components alone, so no link between components is lost.
+   has members; further rounds take other pivots between different components.
+4. Only groups that still span several components then give further pairs: members outside
+   the group's main component with all others, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sevscale.llm.components import components
@@ -35,6 +36,7 @@ SHINGLE = 5
 PERCENT = 80  # least similarity, in percent
 CHOSEN = 3  # one token in three serves for the first filter
 ORDERS = 3
+STARS = 2  # rounds of pivots before the remaining pairs are made
 PACKETS = 256  # packets the chosen tokens are dealt to, by hash
 
 
@@ -132,20 +134,22 @@ def needed(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / 100) + 1
 
 
-def similar_sizes(a: Column, b: Column, percent: int) -> Column:
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
+def least_overlap(a: Column, b: Column, percent: int) -> Column:
+    """Tokens that sets of these sizes share at least if they reach the threshold."""
+    return F.ceil(percent * (a + b) / (100 + percent))
 
 
 def prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(node, n, prefix): per order the tokens of its prefix that occur in other sets too.
+    """Sets (node, n, tokens) with ``alone`` and ``prefix``; those without candidates are left out.
 
     Order j: fewer sets first, ties by the j-th hash.  Tokens of one set alone come first in
-    every order; they fill the prefix but match nothing, so only their number counts.
+    every order; they fill the prefix but match nothing, so only their number, ``alone``,
+    counts.  ``prefix`` has per order the tokens of the prefix that other sets have too.
     """
     rows = sets.select("node", F.explode("tokens").alias("token")).repartition("token")
     common = rows.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > 1)
     gathered = rows.join(common, "token").groupBy("node").agg(F.collect_list(F.struct("sets", "token")).alias("common"))
-    left = needed(F.col("n"), percent) - (F.col("n") - F.size("common"))
+    left = needed(F.col("n"), percent) - F.col("alone")
 
     def cut(j: int) -> Column:
         keyed = F.transform("common", lambda c: F.struct(
@@ -153,57 +157,106 @@ def prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
         return F.slice(F.array_sort(keyed), F.lit(1), left.cast("int"))["token"]
 
     return (
-        sets.select("node", "n").join(gathered, "node").where(left > 0)
-        .select("node", "n", F.array(*[cut(j) for j in range(orders)]).alias("prefix"))
+        sets.join(gathered, "node").withColumn("alone", F.col("n") - F.size("common")).where(left > 0)
+        .select("node", "n", "alone", "tokens", F.array(*[cut(j) for j in range(orders)]).alias("prefix"))
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, cut: DataFrame, percent: int, orders: int) -> DataFrame:
+def in_both_prefixes(a: str, b: str, percent: int) -> Column:
+    """Whether a common token's places leave room for the least overlap in both sets."""
+    least = least_overlap(F.col(f"n_{a}"), F.col(f"n_{b}"), percent)
+    return (F.col(f"at_{a}") <= F.col(f"n_{a}") - least + 1) & (F.col(f"at_{b}") <= F.col(f"n_{b}") - least + 1)
+
+
+def verified(pairs: DataFrame, cut: DataFrame, percent: int, orders: int) -> DataFrame:
     """Of the pairs (a, b), those that pass the filters of all orders and reach the threshold."""
 
     def side(name: str) -> DataFrame:
-        return sets.join(cut.select("node", "prefix"), "node").select(
-            F.col("node").alias(name), F.col("n").alias(f"n_{name}"),
-            F.col("tokens").alias(f"t_{name}"), F.col("prefix").alias(f"p_{name}"),
-        )
+        return cut.select(*[F.col(c).alias(f"{c}_{name}") for c in cut.columns]).withColumnRenamed(f"node_{name}", name)
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
+    least = least_overlap(F.col("n_a"), F.col("n_b"), percent)
+
+    def first(name: str, j: int) -> Column:
+        room = F.col(f"n_{name}") - least + 1 - F.col(f"alone_{name}")
+        return F.slice(F.col(f"prefix_{name}")[j], F.lit(1), F.greatest(room, F.lit(0)).cast("int"))
+
     for j in range(1, orders):
-        joined = joined.where(F.arrays_overlap(F.col("p_a")[j], F.col("p_b")[j]))
-    both = F.size(F.array_intersect("t_a", "t_b"))
-    return joined.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+        joined = joined.where(F.arrays_overlap(first("a", j), first("b", j)))
+    return joined.where(F.size(F.array_intersect("tokens_a", "tokens_b")) >= least).select("a", "b")
+
+
+def prefix_tokens(cut: DataFrame) -> DataFrame:
+    """(token, node, n, alone, at): tokens of the first order's prefixes, their places from 1."""
+    return cut.select("node", "n", "alone", F.posexplode(F.col("prefix")[0]).alias("i", "token")).select(
+        "token", "node", "n", "alone", (F.col("alone") + F.col("i") + 1).alias("at"))
+
+
+def with_labels(tokens: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return tokens.withColumn("label", F.col("node"))
+    return tokens.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
 
+def star_pairs(tokens: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of nodes b with pivots of the main component of groups they are in.
 
-def star_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """One pair per node: with the pivot (smallest node) it shares most first-order tokens with."""
-    pivots = tokens.groupBy("token").agg(
-        F.min(F.struct("node", "n")).alias("pivot"), F.count("*").alias("__m")
-    ).where(F.col("__m") > 1).select("token", F.col("pivot.node").alias("a"), F.col("pivot.n").alias("n_a"))
+    The main component of a token's group is its most frequent one; its pivot is the member
+    with fewest tokens of its own, so the one nearest to the middle of a group of near
+    copies, equals by a hash of turn and token.  At first every node is a component and takes
+    the pivot it meets most often; later it takes three.
+    """
+    draw = F.xxhash64(F.lit(turn), F.col("token"), F.col("node"))
+    pivots = (
+        tokens.groupBy("token", "label").agg(F.count("*").alias("m"), F.min(F.struct("alone", draw, "node", "n", "at")).alias("p"))
+        .groupBy("token").agg(F.max(F.struct("m", -F.col("p.alone"), "label", "p")).alias("main"), F.count("*").alias("labels"))
+        .where(F.col("labels") > 1)
+        .select("token", F.col("main.p.node").alias("a"), F.col("main.p.n").alias("n_a"),
+                F.col("main.p.at").alias("at_a"), F.col("main.label").alias("label_a"))
+    )
     met = (
-        tokens.join(pivots, "token")
-        .where((F.col("a") != F.col("node")) & similar_sizes(F.col("n"), F.col("n_a"), percent))
-        .groupBy("node", "a").agg(F.count("*").alias("shared"))
+        tokens.withColumnsRenamed({"node": "b", "n": "n_b", "at": "at_b"}).join(pivots, "token")
+        .where((F.col("label") != F.col("label_a")) & in_both_prefixes("a", "b", percent))
+        .groupBy("b", "a").agg(F.count("*").alias("shared"))
     )
-    return met.groupBy(F.col("node").alias("b")).agg(
-        F.max(F.struct("shared", (-F.col("a")).alias("a"))).alias("best")
-    ).select((-F.col("best.a")).alias("a"), "b")
-
-
-def open_pairs(tokens: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in groups of a first-order prefix token."""
-    labelled = tokens.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(
-        F.col("low") != F.col("high")).select("token")
-    rows = labelled.join(mixed, "token", "left_semi")
-    other = rows.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("l_b"))
+    most = Window.partitionBy("b").orderBy(F.col("shared").desc(), "a")
+    return met.withColumn("__row", F.row_number().over(most)).where(F.col("__row") <= (3 if turn else 1)).select("a", "b")
+
+
+def open_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that meet in a group of a first-order token.
+
+    Members of the group's most frequent component are not paired with each other: the
+    others are, with all members.
+    """
+    per_label = tokens.groupBy("token", "label").agg(F.count("*").alias("m"))
+    mixed = per_label.groupBy("token").agg(
+        F.max(F.struct("m", "label")).alias("most"), F.count("*").alias("labels")
+    ).where(F.col("labels") > 1).select("token", F.col("most.label").alias("major"))
+    rows = tokens.join(mixed, "token")
+    few = rows.where(F.col("label") != F.col("major")).select(
+        "token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("label").alias("label_a"))
     return (
-        rows.join(other, "token")
-        .where((F.col("node") < F.col("b")) & (F.col("label") != F.col("l_b"))
-               & similar_sizes(F.col("n"), F.col("n_b"), percent))
-        .select(F.col("node").alias("a"), "b").distinct()
+        rows.withColumnsRenamed({"node": "b", "n": "n_b", "at": "at_b"}).join(few, "token")
+        .where((F.col("label") != F.col("label_a")) & ((F.col("label") == F.col("major")) | (F.col("a") < F.col("b")))
+               & in_both_prefixes("a", "b", percent))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
 
 
+def linked_groups(cut: DataFrame, percent: int, orders: int, scratch: Scratch) -> DataFrame:
+    """(node, label) of the sets that have a link, as ``components`` gives them."""
+    tokens = scratch.keep(prefix_tokens(cut), "tokens")
+    links, labels = None, None
+    for turn in range(STARS):
+        pairs = star_pairs(with_labels(tokens, labels), percent, turn)
+        found = scratch.keep(verified(pairs, cut, percent, orders), "links")
+        links = found if links is None else links.union(found)
+        labels = components(links, scratch)
+    pairs = scratch.keep(open_pairs(with_labels(tokens, labels), percent), "pairs")
+    return components(links.union(verified(pairs, cut, percent, orders)), scratch)
+
+
 def similar_groups(
     df: DataFrame, k: int = SHINGLE, percent: int = PERCENT, orders: int = ORDERS,
     id_col: str = "doc_id", text_col: str = "text",
@@ -230,13 +283,7 @@ def similar_groups(
     texts = active.join(docs, F.col("first").eqNullSafe(F.col("doc_id")))
     sets = scratch.keep(_own_sets(texts, k), "sets")
     cut = scratch.keep(prefixes(sets, percent, orders), "prefixes")
-    tokens = scratch.keep(cut.select("node", "n", F.explode(F.col("prefix")[0]).alias("token")), "tokens")
-    stars = scratch.keep(star_pairs(tokens, percent), "pairs")
-    links = scratch.keep(verified(stars, sets, cut, percent, orders), "links")
-    further = open_pairs(tokens, components(links, scratch), percent).join(stars, ["a", "b"], "left_anti").join(
-        stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = verified(further, sets, cut, percent, orders)
-    labels = components(links.union(more), scratch)
+    labels = linked_groups(cut, percent, orders, scratch)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
     by_class = named.join(smallest, "label").select("d1", "d2", "n", "component_id")
