@@ -1,17 +1,19 @@
 """Substring deduplication over a compacted De Bruijn graph of word windows.
 
-Edges are windows of k words, nodes runs of k - 1.  Only repeated edges matter:
+Edges are windows of k words, joined where one window follows another by one word.  Only
+repeated edges matter:
 
 1. Each text selects anchors, the lowest of every k/2 consecutive runs of about k/2 words.
    Two equal windows select the same anchor at the same place, so a window can only repeat
-   around an anchor that repeats.  Texts equal as a whole count once.
-2. Windows around repeated anchors become edges with their source coordinates; edges found
-   in two documents are kept, each with its first source.
-3. Joins over the nodes tell branching ones (several edges in or out); a path is a chain of
-   edges through nodes that do not branch, consecutive in their first source.
-4. A document's windows, joined to the paths, form spans.  Each window of a span is verified
-   at its source coordinates: a second, independent number of its words must equal that of
-   the first source's words.  Then the words under the spans are removed.
+   around an anchor that repeats in another text.  Texts of equal words count once.
+2. Windows around repeated anchors become edges with their source coordinates, a second
+   number of their words, and short marks of the edges before and after.  Edges found in
+   two documents are kept, each with its first source.
+3. An edge whose sources name different edges before (after) it is where paths join (part).
+   A path is a chain of edges, consecutive in their first source, without such a branch.
+4. Joining a document's windows to the paths gives its spans.  Each window is verified at its
+   source coordinates: its second, independent number must equal that of the first source's
+   words.  Then the words under the spans are removed.
 """
 
 from __future__ import annotations
@@ -40,56 +42,57 @@ def anchors(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return places, runs[places]
 
 
-def joined_sha(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
-
-
 def outline(df: DataFrame, k: int) -> DataFrame:
-    """Per row: digest of its words, their number and joined hash, anchors and their places."""
+    """Per row: number and joined hash of its words, a number for equal words, anchors, places."""
 
     def rows(batch: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {c: [] for c in ("n_words", "sha", "anchors", "places")}
+        out: dict[str, list] = {c: [] for c in ("n_words", "sha", "same", "anchors", "places")}
         for text in batch["text"]:
             data = as_bytes(text)
             numbers = word_numbers(data)
             places, runs = anchors(numbers, k)
-            for c, v in zip(out, (len(numbers), joined_sha(data.split()), runs.view(np.int64), places.astype(np.int32))):
+            sha = hashlib.sha256(b" ".join(data.split()))
+            same = int.from_bytes(sha.digest()[:8], "little", signed=True)
+            for c, v in zip(out, (len(numbers), sha.hexdigest(), same, runs.view(np.int64), places.astype(np.int32))):
                 out[c].append(v)
         return {"doc_id": batch["doc_id"], "key": batch["key"]} | out
 
-    schema = "doc_id long, key long, n_words long, sha string, anchors array<long>, places array<int>"
+    schema = "doc_id long, key long, n_words long, sha string, same long, anchors array<long>, places array<int>"
     return per_batch(df, schema, rows)
 
 
-def repeated_places(own: DataFrame) -> DataFrame:
-    """(doc_id, places) of anchors that other documents have too."""
-    each = own.select("doc_id", F.explode(F.arrays_zip("anchors", "places")).alias("z")).select(
-        "doc_id", F.col("z.anchors").alias("anchor"), F.col("z.places").alias("place"))
-    twice = each.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where(
+def repeated_places(outlines: DataFrame) -> DataFrame:
+    """(same, places) of anchors that other texts have too."""
+    each = outlines.select("same", F.explode(F.arrays_zip("anchors", "places")).alias("z")).select(
+        F.col("z.anchors").alias("anchor"), "same", F.col("z.places").alias("place")).repartition("anchor")
+    twice = each.groupBy("anchor").agg(F.min("same").alias("low"), F.max("same").alias("high")).where(
         F.col("low") != F.col("high")).select("anchor")
-    return each.join(twice, "anchor").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    return each.join(twice, "anchor").groupBy("same").agg(F.collect_set("place").alias("places"))
 
 
 def edges_around(texts: DataFrame, k: int) -> DataFrame:
-    """(edge, doc, at, check, head, tail) of the windows that hold a place, from rows
-    (doc_id, text, places)."""
+    """(edge, doc, at, marks) of the windows that hold a place, from rows (doc_id, text, places).
+
+    ``marks``: 32 bits of the second number, 16 each of the edges before and after (0: none).
+    """
 
     def rows(batch: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {c: [np.zeros(0, np.int64)] for c in ("edge", "doc", "at", "check", "head", "tail")}
+        out: dict[str, list] = {c: [np.zeros(0, np.int64)] for c in ("edge", "doc", "at", "marks")}
         width = k // 2
         for doc, text, places in zip(batch["doc_id"], batch["text"], batch["places"]):
             words = word_numbers(as_bytes(text))
-            edges, nodes = sequence_numbers(words, k), sequence_numbers(words, k - 1)
-            checks = sequence_numbers(scramble(words ^ SECOND), k) >> np.uint64(33)
+            edges = sequence_numbers(words, k)
+            checks = sequence_numbers(scramble(words ^ SECOND), k) >> np.uint64(32) << np.uint64(32)
+            short = np.concatenate(([0], edges % np.uint64(65535) + np.uint64(1), [0])).astype(np.uint64)
+            marks = checks | short[:-2] << np.uint64(16) | short[2:]
             # An anchor at p lies in the windows that start at p - width + 1 .. p.
             first = np.maximum(np.array(places, np.int64) - width + 1, 0)
             at = np.flatnonzero(_ranges(first, np.array(places, np.int64) + 1, len(edges)))
-            for c, v in zip(out, (edges[at].view(np.int64), np.full(len(at), doc), at, checks[at].astype(np.int64),
-                                  nodes[at].view(np.int64), nodes[at + 1].view(np.int64))):
+            for c, v in zip(out, (edges[at].view(np.int64), np.full(len(at), doc), at, marks[at].view(np.int64))):
                 out[c].append(v)
         return {c: np.concatenate(v) for c, v in out.items()}
 
-    return per_batch(texts, "edge long, doc long, at long, check long, head long, tail long", rows)
+    return per_batch(texts, "edge long, doc long, at int, marks long", rows)
 
 
 def _ranges(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -101,42 +104,36 @@ def _ranges(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """(edge, path_doc, path_at, offset): each repeated edge's place on its path.
+    """(edge, check, path_doc, path_at, offset): each repeated edge's place on its path.
 
-    ``edges`` has one row per repeated edge with its first source (doc, at) and its nodes.
+    ``edges`` has one row per repeated edge: its first source (doc, at), the second number of
+    its words there, and whether paths join before it or part after it.
     """
-    ins = edges.groupBy(F.col("tail").alias("node")).agg(F.count("*").alias("n_in"))
-    outs = edges.groupBy(F.col("head").alias("node")).agg(F.count("*").alias("n_out"))
-    through = ins.join(outs, "node").where((F.col("n_in") == 1) & (F.col("n_out") == 1)).select("node")
-    marked = edges.join(
-        through.withColumn("through", F.lit(True)), F.col("head") == F.col("node"), "left"
-    )
     along = Window.partitionBy("doc").orderBy("at")
-    begins = F.when(F.col("through") & (F.lag("at").over(along) == F.col("at") - 1), None).otherwise(F.col("at"))
-    return marked.withColumn("path_at", F.last(begins, ignorenulls=True).over(
-        along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )).select("edge", F.col("doc").alias("path_doc"), "path_at", (F.col("at") - F.col("path_at")).alias("offset"))
-
-
-def repeated_spans(docs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(doc, path_doc, path_at, diagonal, ats): verified windows whose first source is an
-    earlier document, by path, from rows (doc_id, text, places).
-
-    ``ats`` are the windows' places; ``at - diagonal`` is the place on the path.
-    """
-    windows = edges_around(docs, k).repartition("edge")
-    first = windows.groupBy("edge").agg(
-        F.min(F.struct("doc", "at", "check", "head", "tail")).alias("first"), F.max("doc").alias("last")
-    ).where(F.col("last") != F.col("first.doc")).select(
-        "edge", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"),
-        F.col("first.check").alias("first_check"))
-    windows = scratch.keep(windows.join(first, "edge").where(F.col("check") == F.col("first_check")), "edges")
-    own = windows.where((F.col("doc") == F.col("first_doc")) & (F.col("at") == F.col("first_at")))
-    paths = compact(own.select("edge", "doc", "at", "head", "tail"))
+    follows = (F.lag("at").over(along) == F.col("at") - 1) & ~F.col("joins") & ~F.lag("parts").over(along)
+    return edges.withColumn("begins", F.when(follows, None).otherwise(F.col("at"))).withColumn(
+        "path_at", F.last("begins", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ).select("edge", "check", F.col("doc").alias("path_doc"), "path_at", (F.col("at") - F.col("path_at")).alias("offset"))
+
+
+def repeated_spans(texts: DataFrame, k: int) -> DataFrame:
+    """(doc, spans): per document its verified windows whose first source is an earlier one,
+    as (at, path_doc, path_at, offset), from rows (doc_id, text, places)."""
+    windows = edges_around(texts, k).repartition("edge")
+    check = F.shiftrightunsigned("marks", 32)
+    before = F.nullif(F.shiftrightunsigned("marks", 16).bitwiseAND(65535), F.lit(0))
+    after = F.nullif(F.col("marks").bitwiseAND(65535), F.lit(0))
+    edges = windows.groupBy("edge").agg(
+        F.min(F.struct("doc", "at", check.alias("check"))).alias("first"), F.max("doc").alias("last"),
+        F.coalesce(F.min(before) != F.max(before), F.lit(False)).alias("joins"),
+        F.coalesce(F.min(after) != F.max(after), F.lit(False)).alias("parts"),
+    ).where(F.col("last") != F.col("first.doc")).select("edge", "first.*", "joins", "parts")
     return (
-        windows.where(F.col("doc") != F.col("first_doc")).select("edge", "doc", "at").join(paths, "edge")
-        .groupBy("doc", "path_doc", "path_at", (F.col("at") - F.col("offset")).alias("diagonal"))
-        .agg(F.collect_list("at").alias("ats"))
+        windows.select("edge", F.col("doc").alias("own"), F.col("at").alias("own_at"), check.alias("own_check"))
+        .join(compact(edges), "edge")
+        .where((F.col("own") != F.col("path_doc")) & (F.col("own_check") == F.col("check")))
+        .groupBy(F.col("own").alias("doc"))
+        .agg(F.collect_list(F.struct(F.col("own_at").alias("at"), "path_doc", "path_at", "offset")).alias("spans"))
     )
 
 
@@ -147,7 +144,7 @@ def remove_spans(texts: DataFrame, k: int) -> DataFrame:
         removed, kept = [], []
         for text, ats in zip(batch["text"], batch["ats"]):
             words = as_bytes(text).split()
-            gone = covered(np.concatenate([np.array(a, np.int64) for a in ats]), k, len(words))
+            gone = covered(np.array(ats, np.int64), k, len(words))
             removed.append(int(gone.sum()))
             kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
         return {"doc_id": batch["doc_id"], "key": batch["key"], "n_removed": removed, "kept_text": kept}
@@ -175,13 +172,12 @@ def deduplicated_words(
     rows = rows.join(whole, F.col("sha") == F.col("__sha"), "left")
     # Texts with the same words as an earlier one need no windows: all of them are repeated.
     judged = scratch.keep(
-        rows.where(F.col("first") == F.col("doc_id")).groupBy("doc_id").agg(F.min("key").alias("key")), "judged"
+        rows.where(F.col("first") == F.col("doc_id")).groupBy("doc_id").agg(
+            F.min(F.struct("key", "same")).alias("j")).select("doc_id", "j.*"), "judged"
     )
-    places = repeated_places(outlines.join(judged, ["doc_id", "key"]).select("doc_id", "anchors", "places"))
-    wanted = judged.join(places, "doc_id")
-    spans = repeated_spans(_texts_of(docs, wanted), k, scratch)
-    by_doc = spans.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("ats").alias("ats"))
-    cut = remove_spans(_texts_of(docs, judged.join(by_doc, "doc_id")), k).select(
+    wanted = judged.join(repeated_places(outlines), "same").select("doc_id", "key", "places")
+    spans = repeated_spans(_texts_of(docs, wanted), k).select(F.col("doc").alias("doc_id"), F.col("spans.at").alias("ats"))
+    cut = remove_spans(_texts_of(docs, judged.select("doc_id", "key").join(spans, "doc_id")), k).select(
         "doc_id", "key", "n_removed", "kept_text", F.sha2("kept_text", 256).alias("cut_sha"))
     gone = F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= k), F.lit(False))
     return rows.withColumn("gone", gone).join(cut, ["doc_id", "key"], "left").select(
