@@ -146,7 +146,7 @@ def prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
     every order; they fill the prefix but match nothing, so only their number, ``alone``,
     counts.  ``prefix`` has per order the tokens of the prefix that other sets have too.
     """
-    rows = sets.select("node", F.explode("tokens").alias("token")).repartition("token")
+    rows = sets.select("node", F.explode("tokens").alias("token"))
     common = rows.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > 1)
     gathered = rows.join(common, "token").groupBy("node").agg(F.collect_list(F.struct("sets", "token")).alias("common"))
     left = needed(F.col("n"), percent) - F.col("alone")

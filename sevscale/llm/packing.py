@@ -82,17 +82,16 @@ def document_pieces(
 class Planner:
     """Turns a histogram of lengths into runs of equal sequences."""
 
-    def __init__(self, histogram: dict[int, int], capacity: int):
-        self.capacity = capacity
+    def __init__(self, histogram: dict[int, int], capacity: int, parts: int):
+        self.capacity, self.parts = capacity, parts
         self.left = Counter({k: n for k, n in histogram.items() if n > 0})
         self.used: Counter = Counter()
         self.sequences = 0
         self.plan: list[tuple[int, int, int, int, int]] = []
 
-    def run(self) -> list[tuple[int, int, int, int, int]]:
+    def run(self) -> None:
         self._exact()
         self._best_fit()
-        return self.plan
 
     def _emit(self, lengths: list[int], times: int) -> None:
         offset = 0
@@ -130,8 +129,10 @@ class Planner:
             return []
         if self._enough(length, gap):
             return [gap]
-        if pair := self._pair(gap, length):
+        if self.parts >= 2 and (pair := self._pair(gap, length)):
             return list(pair)
+        if self.parts < 3:
+            return None
         self.order = [k for k in self.order if self.left[k]]
         for third in self.order:
             if third < gap and (pair := self._pair(gap - third, third, length)):
@@ -183,8 +184,19 @@ class Planner:
 
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Rows of PLAN: pieces of a length with ranks in a range, their sequences and offset."""
-    return Planner(histogram, capacity).run()
+    """Rows of PLAN: pieces of a length with ranks in a range, their sequences and offset.
+
+    Sums of up to three parts are tried first; where short pieces are scarce and run out on
+    them, fewer parts can leave better residuals, so the plan with fewest sequences is taken.
+    """
+    planners = []
+    for parts in (3, 2, 1):
+        planner = Planner(histogram, capacity, parts)
+        planner.run()
+        planners.append(planner)
+        if planner.sequences <= -(-sum(k * n for k, n in histogram.items()) // capacity):
+            break
+    return min(planners, key=lambda p: p.sequences).plan
 
 
 def pack(

@@ -64,9 +64,9 @@ def outline(df: DataFrame, k: int) -> DataFrame:
 def repeated_places(outlines: DataFrame) -> DataFrame:
     """(same, places) of anchors that other texts have too."""
     each = outlines.select("same", F.explode(F.arrays_zip("anchors", "places")).alias("z")).select(
-        F.col("z.anchors").alias("anchor"), "same", F.col("z.places").alias("place")).repartition("anchor")
-    twice = each.groupBy("anchor").agg(F.min("same").alias("low"), F.max("same").alias("high")).where(
-        F.col("low") != F.col("high")).select("anchor")
+        F.col("z.anchors").alias("anchor"), "same", F.col("z.places").alias("place")).where("anchor IS NOT NULL AND same IS NOT NULL").repartition("anchor")
+    twice = each.groupBy("anchor").agg(F.min("same").alias("low"), F.max("same").alias("high"), F.count("place").alias("n")
+    ).where((F.col("low") != F.col("high")) & (F.col("n") > 1)).select("anchor")
     return each.join(twice, "anchor").groupBy("same").agg(F.collect_set("place").alias("places"))
 
 
@@ -119,7 +119,8 @@ def compact(edges: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, k: int) -> DataFrame:
     """(doc, spans): per document its verified windows whose first source is an earlier one,
     as (at, path_doc, path_at, offset), from rows (doc_id, text, places)."""
-    windows = edges_around(texts, k).repartition("edge")
+    # Dealt out by edge once, with the same columns and filters, for the sources and the join.
+    windows = edges_around(texts, k).where("edge IS NOT NULL AND doc IS NOT NULL").repartition("edge")
     check = F.shiftrightunsigned("marks", 32)
     before = F.nullif(F.shiftrightunsigned("marks", 16).bitwiseAND(65535), F.lit(0))
     after = F.nullif(F.col("marks").bitwiseAND(65535), F.lit(0))
@@ -131,7 +132,8 @@ def repeated_spans(texts: DataFrame, k: int) -> DataFrame:
     return (
         windows.select("edge", F.col("doc").alias("own"), F.col("at").alias("own_at"), check.alias("own_check"))
         .join(compact(edges), "edge")
-        .where((F.col("own") != F.col("path_doc")) & (F.col("own_check") == F.col("check")))
+        # The difference is no join key: windows stay placed by their edge alone.
+        .where((F.col("own") != F.col("path_doc")) & (F.col("own_check") - F.col("check") == 0))
         .groupBy(F.col("own").alias("doc"))
         .agg(F.collect_list(F.struct(F.col("own_at").alias("at"), "path_doc", "path_at", "offset")).alias("spans"))
     )
