@@ -7,6 +7,7 @@ spelled out instead of relying on what ``\\b``, ``\\d`` or ``\\S`` cover.
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +32,7 @@ EMOJI = (
 )
 SPECIAL = r"[^a-zA-Z\p{Nd}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
+MARK = "\ufdd0"  # a code point that is no character
 
 
 @F.pandas_udf(StringType())
@@ -51,9 +53,50 @@ def decode_entities(text: Column, full: bool = False) -> Column:
     return text
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Use a value several times without repeating the expression it comes from."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _after(text: Column, done: Column, change: Callable[[Column], Column]) -> Column:
+    """Change what comes after a leading part."""
+    return F.concat(done, change(F.substring(text, F.length(done) + 1, F.length(text))))
+
+
+def _closer(name: str) -> Callable[[Column], Column]:
+    """Mark openings of this element after its last closing tag."""
+    opening, marked = f"(?i)<({name[:-1]})({name[-1]})", f"<$1{MARK}$2"
+    return lambda t: _after(
+        t, F.regexp_extract(t, rf"(?is)^(.*</{name}\s*>)", 1),
+        lambda rest: F.regexp_replace(rest, opening, marked),
+    )
+
+
+def _close_open_ends(text: Column) -> Column:
+    """Mark comment and script openings that nothing closes, so no search for their end starts."""
+    text = _bound(text, lambda t: _after(
+        t, F.regexp_extract(t, "(?s)^(.*-->)", 1), lambda rest: F.replace(rest, F.lit("<!--"), F.lit(f"<!-{MARK}-"))
+    ))
+    for name in ("script", "style"):
+        text = _bound(text, _closer(name))
+    return text
+
+
+def _without_markup(text: Column) -> Column:
+    """Remove markup in time that grows with the text, also where tags stay open.
+
+    No match reaches beyond the last ``>``, so the text after it is left alone.
+    """
+    tail = F.substring_index(text, ">", -1)
+    head = F.substring(text, F.lit(1), F.length(text) - F.length(tail))
+    return F.concat(F.replace(F.regexp_replace(_close_open_ends(head), MARKUP, ""), F.lit(MARK), F.lit("")), tail)
+
+
 def strip_html(text: Column, full_entities: bool = False) -> Column:
     """Drop tags, comments, scripts and styles without leaving a gap; decode entities."""
-    return decode_entities(F.regexp_replace(text, MARKUP, ""), full_entities)
+    bare = F.when(F.contains(text, F.lit(MARK)), F.regexp_replace(text, MARKUP, "")).otherwise(
+        _bound(text, _without_markup))
+    return decode_entities(bare, full_entities)
 
 
 def strip_emoji(text: Column) -> Column:
@@ -92,7 +135,7 @@ def clean_text(text: Column, order: str = "url_first", full_entities: bool = Fal
 # Punctuation rules, pattern and replacement, in the order they apply.
 PUNCT_RULES = (
     (r"\n", " \n "),
-    (r"([a-zA-Z]+)([/!?.])([a-zA-Z]+)", "$1 $2 $3"),
+    (r"(?<![a-zA-Z])([a-zA-Z]++)([/!?.])([a-zA-Z]+)", "$1 $2 $3"),
     (r"([*!?'])\1\1{2,}", "$1$1$1"),
     (r"([*!?']+)", " $1 "),
     (rf"([a-zA-Z])\1{{2,}}(?!{WORD_CHAR})", "$1$1"),

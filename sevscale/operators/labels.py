@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sevscale.functions import labels as L
-
-MAX_CLASSES = 10_000
+from sevscale.operators.ranking import ordinal_rank
 
 
 def severity_sum(df: DataFrame, weights: Mapping[str, float] = L.SUM_WEIGHTS) -> DataFrame:
@@ -64,21 +63,14 @@ def label_flags(df: DataFrame, flags: Sequence[str] = L.SIX_FLAGS) -> DataFrame:
     )
 
 
-def encode_class(
-    df: DataFrame, col: str = "y", out: str = "class_id", max_classes: int = MAX_CLASSES
-) -> DataFrame:
+def encode_class(df: DataFrame, col: str = "y", out: str = "class_id") -> DataFrame:
     """Dense ids 0..C-1 for the classes seen, in class order.
 
-    The class table is numbered in one task, so a column that is no class label (more than
-    ``max_classes`` values) is refused instead of being numbered there.
+    The distinct values are numbered in range partitions and staged, however many they are.
     """
-    seen = df.where(F.col(col).isNotNull()).select(col).distinct()
-    size = seen.agg(F.count("*")).scalar()
-    checked = F.when(
-        size > max_classes, F.raise_error(F.lit(f"more than {max_classes} classes in {col}"))
-    ).otherwise(F.lit(True))
-    table = seen.where(checked).select(
-        F.col(col), (F.row_number().over(Window.orderBy(col)) - 1).cast("bigint").alias(out)
+    seen = df.where(F.col(col).isNotNull()).select(F.col(col).alias("__class")).distinct()
+    table = ordinal_rank(seen, "__class", "__class", "__rank").select(
+        F.col("__class").alias(col), (F.col("__rank") - 1).cast("bigint").alias(out)
     )
     return df.join(table, col, "left")
 

@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sevscale.operators.ranking import id_bucket
+from sevscale.operators.ranking import in_id_ranges
 from sevscale.operators.splits import assign_batches
 
 
@@ -177,7 +177,7 @@ def running_mean(log: DataFrame) -> DataFrame:
     so a run that holds most of the log is still spread over many tasks.
     """
     group = ["run", "metric"]
-    keyed = log.withColumn("__b", id_bucket(log, "step"))
+    keyed = in_id_ranges(log, "step", "__b")
     earlier = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy(*group, "__b").agg(
         F.sum("value").alias("__s"), F.count("value").alias("__n")
@@ -239,9 +239,7 @@ def early_stop(
     if mode not in ("min", "max"):
         raise ValueError(f"mode must be 'min' or 'max', not {mode!r}")
     signed = F.col("value") if mode == "min" else -F.col("value")
-    keyed = epochs.select(*keys, "epoch", signed.alias("v")).withColumn(
-        "__b", id_bucket(epochs, "epoch")
-    )
+    keyed = in_id_ranges(epochs.select(*keys, "epoch", signed.alias("v")), "epoch", "__b")
     earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = keyed.groupBy(*keys, "__b").agg(
         F.count("*").alias("__n"), F.min("v").alias("__low")

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from sevscale.sources.staging import stage
 
 HEX_DIGITS = 3  # 4096 buckets of a hashed order
-ID_BUCKETS = 4096
 
 _BUCKET, _ORDER, _BEFORE = "__bucket", "__order", "__before"
 
@@ -115,20 +114,20 @@ def among_first(df: DataFrame, id_col: str, seed: int | str, wanted: Column) ->
     return (wanted >= total) | inside
 
 
-def id_bucket(df: DataFrame, id_col: str, buckets: int = ID_BUCKETS) -> Column:
-    """Equal-width id ranges: ids are unique, so no bucket can outgrow its width."""
-    lo = df.agg(F.min(id_col)).scalar()
-    span = df.agg(F.max(id_col) - F.min(id_col)).scalar()
-    width = F.floor(span / buckets) + 1
-    return F.floor((F.col(id_col) - lo) / width)
+def in_id_ranges(df: DataFrame, id_col: str, out: str = _BUCKET) -> DataFrame:
+    """Rows in ordered id ranges of about equal size, staged; ``out`` numbers the range.
+
+    The cuts are sampled from the ids, so far outliers and gaps do not matter.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(df.repartitionByRange(parts, id_col).withColumn(out, F.spark_partition_id()), "id_ranges")
 
 
 def id_rank(
     df: DataFrame, id_col: str, out: str = "rank", by: Sequence[str] = ()
 ) -> DataFrame:
     """Position in ascending order of a unique whole-number id."""
-    keyed = df.withColumn(_BUCKET, id_bucket(df, id_col))
-    return _bucketed_position(keyed, by, [F.col(id_col)], out)
+    return _bucketed_position(in_id_ranges(df, id_col), by, [F.col(id_col)], out)
 
 
 def range_positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

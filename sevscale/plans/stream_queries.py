@@ -20,12 +20,9 @@ add_texts("clean_turn_", f"""
 
 
 def arriving(spark, sf_dir, name):
-    """A given table as a stream of files."""
-    return (
-        spark.readStream.schema(read_table(spark, sf_dir, name).schema)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(sf_dir)
-    )
+    """A given table, one file or a folder of them, as a stream of files."""
+    # as a pattern the path may name either
+    return spark.readStream.schema(read_table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.[p]arquet")
 
 
 def log_stream(spark, sf_dir):
@@ -60,19 +57,25 @@ def metric_means(spark, sf_dir):
 
 
 @query("stream_windowed_mean", """
-    WITH last AS (SELECT max(ts) - INTERVAL 10 MINUTES AS mark FROM events)
     SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
       event_type AS metric, count(value) AS n, round(avg(value) + 1e-9, 6) AS mean
-    FROM events, last
-    WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= mark GROUP BY 1, 2""")
+    FROM events GROUP BY 1, 2""")
 def windowed_means(spark, sf_dir):
     out = staged_path(spark, "stream_windowed_mean")
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     finished(
-        windowed_metric_mean(log_stream(spark, sf_dir)).writeStream.outputMode("append")
-        .option("path", out).option("checkpointLocation", staged_path(spark, "state"))
-        .format("parquet").trigger(availableNow=True).start()
+        windowed_metric_mean(log_stream(spark, sf_dir)).writeStream.outputMode("update")
+        .foreachBatch(write).option("checkpointLocation", staged_path(spark, "state"))
+        .trigger(availableNow=True).start()
     )
-    return spark.read.parquet(out).select(
+    # update mode gives open windows too; of several states of a window the last counts
+    last = spark.read.parquet(out).groupBy("window_start", "metric").agg(
+        F.max_by(F.struct("n", "mean"), "batch").alias("s")
+    )
+    return last.select("window_start", "metric", "s.*").select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
         "metric", "n", *near("mean"),
     )

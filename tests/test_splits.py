@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sevscale.operators import splits
+from sevscale.operators import ranking, splits
 from sevscale.operators.ranking import exact_quantiles, hashed_rank, id_rank, ordinal_rank
 
 
@@ -92,11 +92,20 @@ def test_holdout_and_samples(spark):
     assert splits.sample_frac(df, 1.0).count() == 101
 
 
-def test_large_sample_is_the_small_one_continued(spark, monkeypatch):
+def test_samples_of_growing_size_contain_each_other(spark):
     df = ids(spark, 500)
-    small = {r.id for r in splits.sample_n(df, 50).collect()}
-    monkeypatch.setattr(splits, "TOP_N_LIMIT", 0)
-    assert {r.id for r in splits.sample_n(df, 50).collect()} == small
+    drawn = [{r.id for r in splits.sample_n(df, n).collect()} for n in (50, 51, 400)]
+    assert drawn[0] < drawn[1] < drawn[2]
+    assert [len(d) for d in drawn] == [50, 51, 400]
+
+
+def test_one_far_id_does_not_fill_a_bucket(spark):
+    df = ids(spark, 4000).union(spark.createDataFrame([(10**15,), (-(2**62),), (2**62,)], "id long"))
+    cut = ranking.in_id_ranges(df, "id", "b")
+    sizes = [r["count"] for r in cut.groupBy("b").count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+    batches = splits.assign_batches(df, 1000).groupBy("batch").count().collect()
+    assert sorted(r["count"] for r in batches) == [3, 1000, 1000, 1000, 1000]
 
 
 def test_holdout_folds_do_not_overlap(spark):

@@ -112,3 +112,23 @@ def test_punctuation(spark, small):
 def test_missing_text_stays_missing(spark):
     for fn in (T.clean_text, T.normalize_punct, T.as_text):
         assert applied(spark, fn, [None]) == [None]
+
+
+def test_open_markup_takes_linear_time(spark):
+    import time
+
+    open_ends = ["<!-- x " * 20_000, "<a " * 20_000, "<script>a " * 8_000, "<!-- x " * 9_000 + "<b>", "y" * 40_000]
+    df = spark.createDataFrame([(t,) for t in open_ends], "t string")
+    start = time.time()
+    got = [r[0] for r in df.select(T.strip_html(F.col("t"))).collect()]
+    df.select(T.normalize_punct(F.col("t"))).collect()
+    assert time.time() - start < 20
+    assert got[0] == open_ends[0] and got[1] == open_ends[1] and got[4] == open_ends[4]
+    assert got[2] == "a " * 8_000 and got[3] == ""
+
+
+def test_closed_and_open_markup_together(spark):
+    rows = [("a<!-- b --> c <!-- d", "a c <!-- d"), ("<SCRIPT>x</script>y<script>z", "yz"),
+            ("<style>p</style ><b>q</b><style", "q<style"), ("1 < 2 <i>3", "1 < 2 3")]
+    df = spark.createDataFrame(rows, "t string, e string")
+    assert all(r[0] == r[1] for r in df.select(T.strip_html(F.col("t")), "e").collect())
