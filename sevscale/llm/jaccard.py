@@ -142,12 +142,14 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
 def prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
     """Sets (node, n, tokens) with ``alone`` and ``prefix``; those without candidates are left out.
 
+    Of ``tokens`` only those stay that other sets have too: no other can be common to a pair.
+
     Order j: fewer sets first, ties by the j-th hash.  Tokens of one set alone come first in
     every order; they fill the prefix but match nothing, so only their number, ``alone``,
     counts.  ``prefix`` has per order the tokens of the prefix that other sets have too.
     """
     rows = sets.select("node", F.explode("tokens").alias("token"))
-    common = rows.groupBy("token").agg(F.count("*").alias("sets")).where(F.col("sets") > 1)
+    common = rows.groupBy("token").agg(F.count("*").cast("int").alias("sets")).where(F.col("sets") > 1)
     gathered = rows.join(common, "token").groupBy("node").agg(F.collect_list(F.struct("sets", "token")).alias("common"))
     left = needed(F.col("n"), percent) - F.col("alone")
 
@@ -157,8 +159,9 @@ def prefixes(sets: DataFrame, percent: int, orders: int) -> DataFrame:
         return F.slice(F.array_sort(keyed), F.lit(1), left.cast("int"))["token"]
 
     return (
-        sets.join(gathered, "node").withColumn("alone", F.col("n") - F.size("common")).where(left > 0)
-        .select("node", "n", "alone", "tokens", F.array(*[cut(j) for j in range(orders)]).alias("prefix"))
+        sets.select("node", "n").join(gathered, "node").withColumn("alone", F.col("n") - F.size("common")).where(left > 0)
+        .select("node", "n", "alone", F.col("common.token").alias("tokens"),
+                F.array(*[cut(j) for j in range(orders)]).alias("prefix"))
     )
 
 
@@ -281,7 +284,7 @@ def similar_groups(
         .where(rare < needed(F.col("n"), percent)).select("node", "d1", "d2", "first"), "active",
     )
     texts = active.join(docs, F.col("first").eqNullSafe(F.col("doc_id")))
-    sets = scratch.keep(_own_sets(texts, k), "sets")
+    sets = _once(scratch.keep(_own_sets(texts, k), "sets"), scratch)
     cut = scratch.keep(prefixes(sets, percent, orders), "prefixes")
     labels = linked_groups(cut, percent, orders, scratch)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -308,4 +311,17 @@ def _own_sets(texts: DataFrame, k: int) -> DataFrame:
         return out
 
     found = per_batch(texts.select("node", "d1", "d2", "text"), "node long, n long, tokens array<long>", rows)
-    return found.dropDuplicates(["node"])
+    return found.withColumn("row", F.monotonically_increasing_id())
+
+
+def _once(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Sets with one row per node.  Only repeated ids make more, so these are looked for by
+    number, and the tokens of the others stay where they are."""
+    repeated = scratch.keep(
+        sets.groupBy("node").agg(F.min("row").alias("first_row"), F.count("*").alias("rows")).where(F.col("rows") > 1)
+        .select("node", "first_row"), "repeated",
+    )
+    return (
+        sets.join(repeated, "node", "left").where(F.col("first_row").isNull() | (F.col("row") == F.col("first_row")))
+        .select("node", "n", "tokens")
+    )
