@@ -37,6 +37,7 @@ PERCENT = 80  # least similarity, in percent
 CHOSEN = 3  # one token in three serves for the first filter
 ORDERS = 3
 STARS = 2  # rounds of pivots before the remaining pairs are made
+FILTER_IDS = 2_000_000  # ids (8 bytes each) that are broadcast at most to find the texts in question
 PACKETS = 256  # packets the chosen tokens are dealt to, by hash
 
 
@@ -283,7 +284,7 @@ def similar_groups(
         classes.join(shared_counts(packets(docs, k)), "d1", "left")
         .where(rare < needed(F.col("n"), percent)).select("node", "d1", "d2", "first"), "active",
     )
-    texts = active.join(docs, F.col("first").eqNullSafe(F.col("doc_id")))
+    texts = active.join(_among(docs, active), F.col("first").eqNullSafe(F.col("doc_id")))
     sets = _once(scratch.keep(_own_sets(texts, k), "sets"), scratch)
     cut = scratch.keep(prefixes(sets, percent, orders), "prefixes")
     labels = linked_groups(cut, percent, orders, scratch)
@@ -297,6 +298,17 @@ def similar_groups(
     return scratch.finish(result, "groups")
 
 
+def _among(docs: DataFrame, active: DataFrame) -> DataFrame:
+    """The docs, without those whose id is not in question if such ids are few enough to broadcast.
+
+    This only spares moving texts that the join would drop; with more ids it drops them itself.
+    """
+    if active.count() > FILTER_IDS:
+        return docs
+    ids = active.select(F.xxhash64("first").alias("__first"))
+    return docs.join(F.broadcast(ids), F.xxhash64("doc_id") == F.col("__first"), "left_semi")
+
+
 def _own_sets(texts: DataFrame, k: int) -> DataFrame:
     """Sets of rows (node, d1, d2, text); a row of the same id with another set is left out."""
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sevscale.llm import packing, quality, secrets
+from sevscale.llm import jaccard, packing, quality, secrets
 from sevscale.llm.chat import format_chats
 from sevscale.llm.exact import exact_dedup, exact_groups
 from sevscale.llm.jaccard import similar_groups
@@ -80,6 +80,20 @@ def test_jaccard_edges(docs):
         [(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (None, 1, 4), (6, 1, 6)], key=str)
 
 
+def test_jaccard_filter_and_repeated_ids(docs, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i % 5, " ".join([*base[: 190 + i % 5], f"x{i % 5}"])) for i in range(10)] + [(7, "a b c d e f")]
+
+    def groups():
+        return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in similar_groups(docs(*rows)).collect())
+
+    expected = brute_components(rows[:5] + rows[10:])
+    few = groups()
+    assert few == sorted((i, *expected[i]) for i, _ in rows)
+    monkeypatch.setattr(jaccard, "FILTER_IDS", 0)
+    assert groups() == few
+
+
 def test_exact_edges(docs):
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_groups(docs(*EDGES)).collect()), key=str)
     assert got == sorted([(1, 2, 2, False), (2, 2, 2, True), (3, 3, 1, True), (4, 4, 3, True), (4, 4, 3, False),
