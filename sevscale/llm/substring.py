@@ -42,8 +42,36 @@ def anchors(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return places, runs[places]
 
 
+def settled(sames: list[int], runs: list[np.ndarray]) -> list[np.ndarray]:
+    """Per text: which of its anchors this batch settles (1), leaves open (0) or makes superfluous (-1).
+
+    Of texts with equal words the first speaks for all.  An anchor that several texts of the
+    batch have repeats for certain: two of its rows, of different texts, stay open to tell
+    other batches so, the rest are settled.  So a common anchor sends two rows per batch.
+    """
+    state = [np.full(len(r), -1, np.int8) for r in runs]
+    first = list({same: i for i, same in reversed(list(enumerate(sames)))}.values())
+    if not first:
+        return state
+    sizes = [len(runs[i]) for i in first]
+    run, text = np.concatenate([runs[i] for i in first]), np.repeat(np.array(first), sizes)
+    flat = np.zeros(len(run), np.int8)
+    if len(run):
+        order = np.lexsort((text, run))
+        starts = np.flatnonzero(np.concatenate(([True], run[order][1:] != run[order][:-1])))
+        ends = np.append(starts[1:], len(run)) - 1
+        repeats = text[order][starts] != text[order][ends]
+        by_order = np.repeat(repeats, ends - starts + 1).astype(np.int8)
+        by_order[starts], by_order[ends] = 0, 0
+        flat[order] = by_order
+    for i, part in zip(first, np.split(flat, np.cumsum(sizes)[:-1])):
+        state[i] = part
+    return state
+
+
 def outline(df: DataFrame, k: int) -> DataFrame:
-    """Per row: number and joined hash of its words, a number for equal words, anchors, places."""
+    """Per row: number and joined hash of its words, a number for equal words; the anchors that
+    are to be compared with other batches and their places; places of anchors known to repeat."""
 
     def rows(batch: dict[str, list]) -> dict[str, object]:
         out: dict[str, list] = {c: [] for c in ("n_words", "sha", "same", "anchors", "places")}
@@ -55,9 +83,14 @@ def outline(df: DataFrame, k: int) -> DataFrame:
             same = int.from_bytes(sha.digest()[:8], "little", signed=True)
             for c, v in zip(out, (len(numbers), sha.hexdigest(), same, runs.view(np.int64), places.astype(np.int32))):
                 out[c].append(v)
-        return {"doc_id": batch["doc_id"], "key": batch["key"]} | out
-
-    schema = "doc_id long, key long, n_words long, sha string, same long, anchors array<long>, places array<int>"
+        state = settled(out["same"], out["anchors"])
+        sure = [p[s == 1] for p, s in zip(out["places"], state)]
+        for c in ("anchors", "places"):
+            out[c] = [v[s == 0] for v, s in zip(out[c], state)]
+        return {"doc_id": batch["doc_id"], "key": batch["key"], "sure": sure} | out
+
+    schema = ("doc_id long, key long, n_words long, sha string, same long, anchors array<long>, "
+              "places array<int>, sure array<int>")
     return per_batch(df, schema, rows)
 
 
@@ -67,7 +100,9 @@ def repeated_places(outlines: DataFrame) -> DataFrame:
         F.col("z.anchors").alias("anchor"), "same", F.col("z.places").alias("place")).where("anchor IS NOT NULL AND same IS NOT NULL").repartition("anchor")
     twice = each.groupBy("anchor").agg(F.min("same").alias("low"), F.max("same").alias("high"), F.count("place").alias("n")
     ).where((F.col("low") != F.col("high")) & (F.col("n") > 1)).select("anchor")
-    return each.join(twice, "anchor").groupBy("same").agg(F.collect_set("place").alias("places"))
+    sure = outlines.where(F.size("sure") > 0).select("same", F.explode("sure").alias("place"))
+    return each.join(twice, "anchor").select("same", "place").unionByName(sure).groupBy("same").agg(
+        F.collect_set("place").alias("places"))
 
 
 def edges_around(texts: DataFrame, k: int) -> DataFrame:
@@ -169,7 +204,7 @@ def deduplicated_words(
     scratch = Scratch(df.sparkSession)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
     outlines = scratch.keep(outline(docs, k), "outlines")
-    rows = outlines.drop("anchors", "places")
+    rows = outlines.drop("anchors", "places", "sure")
     whole = rows.where("doc_id IS NOT NULL").groupBy(F.col("sha").alias("__sha")).agg(F.min("doc_id").alias("first"))
     rows = rows.join(whole, F.col("sha") == F.col("__sha"), "left")
     # Texts with the same words as an earlier one need no windows: all of them are repeated.

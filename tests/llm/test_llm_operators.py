@@ -18,7 +18,7 @@ from sevscale.llm.langid import fit_profiles, identify
 from sevscale.llm.mixing import curriculum, mixed_rows
 from sevscale.llm.packing import pack, plan_sequences
 from sevscale.llm.queries import QUERIES, VOCABULARY
-from sevscale.llm.substring import deduplicated_words
+from sevscale.llm.substring import deduplicated_words, settled
 from sevscale.llm.urls import url_verdicts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,6 +136,12 @@ def test_substring_equals_brute_force(docs, k):
     assert got == brute_windows(pairs, k)
 
 
+def test_anchors_settle_within_a_batch():
+    state = settled([1, 2, 1, 3, 4], [np.array(r, np.uint64) for r in ([7, 9], [7, 7], [7, 9], [7, 8, 8], [])])
+    # The first and last row of 7 stay open; 8 and 9 have one text each; the third text equals the first.
+    assert [s.tolist() for s in state] == [[0, 0], [1, 1], [-1, -1], [0, 0, 0], []]
+
+
 def test_substring_edges(docs):
     got = deduplicated_words(docs(*EDGES)).collect()
     assert len(got) == len(EDGES)
