@@ -10,6 +10,7 @@ from sevscale.functions import text as T
 from sevscale.plans.catalog import query
 from sevscale.sources.tables import read_table, spread
 
+# What the cleaners delete, stated for the SQL.
 URL = r"https?://\S+|www\.\S+"
 MARKUP = (
     r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[a-z/!?][^>]*>"
@@ -25,9 +26,17 @@ def replaced(text: str, pattern: str, by: str) -> str:
     return f"regexp_replace({text}, '{quoted[0]}', '{quoted[1]}', 'g')"
 
 
+# References the SQL decodes, the ampersand last.  With and without semicolon where
+# HTML allows both; these are the ones that occur in the given pages, and the basic ones.
+REFERENCES = (
+    ("&copy;?", "\u00a9"), ("&middot;?", "\u00b7"), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'),
+    ("&#39;?", "'"), ("&nbsp;?", "\u00a0"), ("&amp;?", "&"),
+)
+
+
 def decoded(text: str) -> str:
-    for entity, char in T.ENTITIES:
-        text = "replace({}, '{}', '{}')".format(text, entity, char.replace("'", "''"))
+    for reference, char in REFERENCES:
+        text = replaced(text, reference, char)
     return text
 
 

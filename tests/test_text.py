@@ -78,7 +78,7 @@ def test_markup_against_a_parser(spark):
 
 def test_cleaner_on_given_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").select("html")
-    for raw, got in pages.select("html", T.strip_html(F.col("html"), True).alias("o")).collect():
+    for raw, got in pages.select("html", T.strip_html(F.col("html")).alias("o")).collect():
         parser = _Plain()
         parser.feed(raw)
         parser.close()
@@ -93,10 +93,12 @@ def test_order_of_address_and_markup(spark):
         T.clean_text(F.col("t"), "other")
 
 
-def test_full_entities(spark):
-    texts = ["caf&eacute; &#65; &amp;lt;", None]
-    assert applied(spark, lambda c: T.decode_entities(c, True), texts) == [
-        html.unescape(texts[0]), None]
+def test_entities(spark):
+    texts = ["caf&eacute; &#65; &amp;lt;", None, "", "&", "&&amp;&", "a &notit; &ampx &copy2 &nosuch; &#; &#x; &#x41g",
+             "&#128; &#129; &#0; &#13; &#x1F600; &#xD800; &#1114112; &#65279;| &#11;| &#xFFFE;| &#99999999999999999999;",
+             "&NotEqualTilde; &fjlig; &NewLine;|&Tab;|", "&#x0000000000041; &#000000000000065;", "it&#8217;s &Amp; &AMP"]
+    assert applied(spark, T.decode_entities, texts) == [t and html.unescape(t) for t in texts]
+    assert applied(spark, T.clean_text, ["caf&eacute; it&#8217;s ok"]) == ["caf it s ok"]
 
 
 def test_east_asian_letters_go_with_the_emoji(spark):
