@@ -133,8 +133,8 @@ def f1_macro(df: DataFrame, y: str = "y", pred: str = "pred") -> DataFrame:
 
 
 def to_wide(preds: DataFrame, models: Sequence[int], key: str = "id") -> DataFrame:
-    """One column m0, m1, ... per model."""
-    wide = preds.groupBy(key).pivot("fold", list(models)).agg(F.first("pred"))
+    """One column m0, m1, ... per model; of several predictions of one model the largest."""
+    wide = preds.groupBy(key).pivot("fold", list(models)).agg(F.max("pred"))
     return wide.select(key, *[F.col(f"`{m}`").alias(f"m{m}") for m in models])
 
 

@@ -41,7 +41,7 @@ def read_comments(spark: SparkSession, path: str, schema: str | StructType) -> D
     """Read a headered CSV whose texts may hold quoted line breaks and doubled quotes.
 
     The columns are found by name, so a file may hold them in any order and hold more than
-    the schema asks for.  Line breaks inside quotes keep Spark from splitting a file: have
+    the schema asks for; files of one folder must agree, or reading fails.  Line breaks inside quotes keep Spark from splitting a file: have
     many files, or convert a single large one with ``comments_to_parquet``.  Texts such as
     ``NA`` stay texts.
     """
@@ -51,6 +51,7 @@ def read_comments(spark: SparkSession, path: str, schema: str | StructType) -> D
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
+        .option("enforceSchema", False)
         .csv(path)
     )
     return raw.select(*[_typed(f).alias(f.name) for f in wanted.fields])

@@ -21,6 +21,13 @@ def test_columns_are_found_by_name(spark, tmp_path):
     assert (row.id, row.toxic, row.threat, row.identity_hate) == ("a1", 1, None, -1)
 
 
+def test_files_with_other_headers_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,comment_text\n1,one\n")
+    (tmp_path / "b.csv").write_text("comment_text,id\ntwo,2\n")
+    with pytest.raises(Exception):
+        comments.read_comments(spark, str(tmp_path), comments.TEXT_SCHEMA).collect()
+
+
 def test_parquet_conversion(spark, tmp_path):
     (tmp_path / "f.csv").write_text("comment_id,text\n5,hello\n6,\n")
     got = comments.comments_to_parquet(
