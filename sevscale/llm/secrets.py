@@ -34,7 +34,8 @@ SENSITIVE = (
     ("auth_token", 0.9), ("token", 0.7), ("pwd", 0.8), ("auth", 0.5),
 )
 THRESHOLD = 0.8
-_HINT = re.compile("|".join(sorted({n for n, _ in SENSITIVE})), re.I)
+# What any name with a score has: ``name_score`` reads a hyphen as an underscore.
+_HINT = re.compile("|".join(sorted({n.replace("_", "[-_]") for n, _ in SENSITIVE})), re.I)
 _PAIR = re.compile(
     r"""(?<![\w.$-])["']?(?P<name>[A-Za-z_$][\w$-]{0,127}(?:\.[A-Za-z_$][\w$-]{0,127}){0,8})["']?[ \t]*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*"""
 )

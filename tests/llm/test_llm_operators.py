@@ -240,6 +240,16 @@ def test_secrets_follow_constants():
     assert secrets.lexed_spans('title = "no names here, but long enough 12345"') == []
 
 
+def test_secret_hint_covers_every_scored_name(monkeypatch):
+    value = "Xk29fjQpLm48"
+    names = [n.replace("_", j) for n, _ in secrets.SENSITIVE for j in "-_"]
+    texts = [f'{w}: "{value}"\n' for n in names for w in (n, n.upper(), f"x-{n}", f"{n}.main")]
+    hinted = [secrets.lexed_spans(t, 0.5) for t in texts]
+    assert all([t[a:b] for _, a, b in spans] == [value] for t, spans in zip(texts, hinted))
+    monkeypatch.setattr(secrets, "_HINT", re.compile(""))
+    assert [secrets.lexed_spans(t, 0.5) for t in texts] == hinted
+
+
 def test_secret_edges(docs):
     got = secrets.digest_spans(secrets.find_secrets(docs(*EDGES))).collect()
     assert len(got) == len(EDGES)
