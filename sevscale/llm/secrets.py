@@ -36,13 +36,30 @@ SENSITIVE = (
 THRESHOLD = 0.8
 # What any name with a score has: ``name_score`` reads a hyphen as an underscore.
 _HINT = re.compile("|".join(sorted({n.replace("_", "[-_]") for n, _ in SENSITIVE})), re.I)
+_NAME = r"[A-Za-z_$][\w$-]{0,127}(?:\.[A-Za-z_$][\w$-]{0,127}){0,8}"
+# ``var name type = x`` of Go: either word may be the name, as in ``const String name = x``.
 _PAIR = re.compile(
-    r"""(?<![\w.$-])["']?(?P<name>[A-Za-z_$][\w$-]{0,127}(?:\.[A-Za-z_$][\w$-]{0,127}){0,8})["']?[ \t]*(?P<op>:=|=>|=(?!=)|:(?!:))[ \t]*"""
+    rf"""(?<![\w.$-])(?:(?:var|const)[ \t]+(?P<declared>[A-Za-z_$][\w$]{{0,127}})[ \t]+)?["']?(?P<name>{_NAME})["']?"""
+    r"""[ \t]*(?P<op>:=|=>|=(?!=)|\??:(?!:))[ \t]*"""
 )
+_PREFIX = r"(?:[A-Za-z]{1,2}8?|[@$]{1,2})?"  # of strings: b, r, f, u8, @ and the like
+# What stands between ``name:`` and the value of a typed declaration.
+_TYPE = re.compile(
+    r"""[&*]{0,2}(?:'static[ \t]+)?(?P<type>[A-Za-z_$][\w$.:]{0,127})(?:<[^<>\n=]{0,64}>|\[[^\[\]\n=]{0,64}\]){0,2}[?!]?"""
+    r"""(?:[ \t]*\|[ \t]*[A-Za-z_$][\w$.]{0,127}){0,3}"""
+    rf"""(?:[ \t]+=[ \t]+|[ \t]*=[ \t]*(?={_PREFIX}["']))"""
+)
+# A string or a bare word.  ``+`` is a character of a word, unless blanks or quotes stand beside it.
 _PART = re.compile(
-    r"""[ \t]*(?:(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')|(?P<word>[^\s"',;)}\]+]+))[ \t]*(?P<plus>\+)?"""
+    rf"""[ \t]*(?:{_PREFIX}(?P<quoted>"{{3}}(?:[^"\\]|\\[\s\S]|"(?!""))*+"{{3}}|'{{3}}(?:[^'\\]|\\[\s\S]|'(?!''))*+'{{3}}"""
+    r"""|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+    r"""|(?P<word>(?:[^\s"',;)}\]+]|\+(?=[^\s"']))(?:[^\s"',;)}\]+]|\+(?=[^\s"']|[ \t]*(?:[\r\n]|\Z)))*))[ \t]*(?P<plus>\+)?"""
 )
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\Z")
+# Types and keywords where a value could stand: ``password: string`` declares, it does not assign.
+_RESERVED = frozenset(
+    "string String undefined nullptr boolean Boolean integer Integer number Number function lambda".split()
+)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -70,6 +87,8 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
     """Literals that reach a sensitive name, directly or through other names.
 
     A name keeps the literals of its latest assignment; assignments are read in text order.
+    A bare word that is no constant read before is a literal, unless it is a reserved word or
+    an identifier in a sum.  Strings may have prefixes, and declarations types.
     """
     if not _HINT.search(text):
         return []
@@ -77,24 +96,39 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
     scores: dict[tuple[int, int], float] = {}
     at = 0
     while pair := _PAIR.search(text, at):
-        name, place = pair["name"], pair.end()
+        names, start = [n for n in (pair["declared"], pair["name"]) if n], pair.end()
         reached: list[tuple[int, int]] = []
+        weight = max(map(name_score, names))
+        if pair["op"].endswith(":") and (typed := _TYPE.match(text, start)):
+            start, weight = typed.end(), max(weight, name_score(typed["type"]))
+        place, quoted, joined = start, False, False
         while part := _PART.match(text, place):
-            place = part.end()
-            if part["quoted"]:
-                reached.append((part.start("quoted") + 1, part.end("quoted") - 1))
-            elif part["word"] in constants:
-                reached.extend(constants[part["word"]])
-            elif not part["plus"] and not _IDENTIFIER.match(part["word"]):
-                reached.append(part.span("word"))
+            place, word = part.end(), part["word"]
+            if word is None:
+                quoted = quoted or not joined
+                edge = 3 if len(part["quoted"]) >= 6 and part["quoted"][:3] in ('"' * 3, "'" * 3) else 1
+                reached.append((part.start("quoted") + edge, part.end("quoted") - edge))
+            elif word in constants:
+                reached.extend(constants[word])
+            else:
+                pieces = word.split("+")
+                known = [p for p in pieces if p in constants]
+                for piece in known:
+                    reached.extend(constants[piece])
+                variable = (joined or part["plus"]) and _IDENTIFIER.match(word)
+                if len(known) < len(pieces) and not variable and word not in _RESERVED:
+                    reached.append(part.span("word"))
             if not part["plus"]:
                 break
-        constants[name] = tuple(dict.fromkeys(reached))
-        weight = name_score(name)
+            joined = True
+        if start > pair.end() and not quoted and typed["type"] not in _RESERVED:
+            reached.append(typed.span("type"))  # ``name: value = x`` may as well be a bare value
+        spans = tuple(dict.fromkeys(reached))
+        constants.update(dict.fromkeys(names, spans))
         if weight:
-            for span in constants[name]:
+            for span in spans:
                 scores[span] = max(scores.get(span, 0.0), weight)
-        at = max(pair.end(), place if reached and text[pair.end():pair.end() + 1] in "\"'" else pair.end())
+        at = place if quoted else start
     return [
         ("literal", a, b) for (a, b), weight in scores.items()
         if weight * (0.5 + literal_score(text[a:b])) >= threshold and b - a >= LEAST_VALUE

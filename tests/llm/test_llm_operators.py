@@ -250,6 +250,24 @@ def test_secret_hint_covers_every_scored_name(monkeypatch):
     assert [secrets.lexed_spans(t, 0.5) for t in texts] == hinted
 
 
+@pytest.mark.parametrize("text, found", [
+    ("DB_PWD=Xk29fjQpLm48", ["Xk29fjQpLm48"]), ("private_key: Zx81kQabc2", ["Zx81kQabc2"]),
+    ("passphrase=abcDEF123\n", ["abcDEF123"]), ("passphrase: ab12.CD34_x9", ["ab12.CD34_x9"]),
+    *[(f'password = {p}"s3cr3tValue9X"', ["s3cr3tValue9X"]) for p in ("b", "r", "f", "u", "Rb", "@", "$@", "u8")],
+    ('password = """s3cr3t\nValue9X"""', ["s3cr3t\nValue9X"]), ("password = b'''s3cr3tValue9X'''", ["s3cr3tValue9X"]),
+    ('password: str = "s3cr3tValue9X"', ["s3cr3tValue9X"]), ('const apiKey: string = "s3cr3tValue9X";', ["s3cr3tValue9X"]),
+    ("password: Optional[str] = 's3cr3tValue9X'", ["s3cr3tValue9X"]), ('pwd: str | None="s3cr3tValue9X"', ["s3cr3tValue9X"]),
+    ("const API_KEY: &'static str = \"s3cr3tValue9X\";", ["s3cr3tValue9X"]), ('var password string = "s3cr3tValue9X"', ["s3cr3tValue9X"]),
+    ('const String password = "s3cr3tValue9X"', ["s3cr3tValue9X"]), ("password: string;", []),
+    ("client_secret=ab12+CD34/ef56+gh78==", ["ab12+CD34/ef56+gh78=="]), ("client_secret: +ab12CD34ef+\n", ["+ab12CD34ef+"]),
+    ("private_key: Zx81kQabc2=", ["Zx81kQabc2="]), ('a = "s3cr3tValue9X"\npassword = a+b', ["s3cr3tValue9X"]),
+    ('a = "s3cr3tValue9X"\nb = "tail77XyZ!"\npassword = a+b', ["s3cr3tValue9X", "tail77XyZ!"]),
+    ('password = prefix + "s3cr3tValue9X"', ["s3cr3tValue9X"]), ('a: str = "s3cr3tValue9X"\npassword = a', ["s3cr3tValue9X"]),
+])
+def test_secret_forms(text, found):
+    assert sorted(text[a:b] for _, a, b in secrets.lexed_spans(text)) == found
+
+
 def test_secret_edges(docs):
     got = secrets.digest_spans(secrets.find_secrets(docs(*EDGES))).collect()
     assert len(got) == len(EDGES)
