@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sevscale.llm.exact import exact_dedup
+from sevscale.llm.frames import numbered, orderable, row_key, text_digest
 from sevscale.llm.jaccard import similar_groups
 from sevscale.llm.mixing import mixed_rows
 from sevscale.llm.packing import pack
@@ -17,10 +18,11 @@ from sevscale.sources.tables import read_table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list accept."""
-    statistics = stage(text_statistics(docs), "statistics")
+    statistics = stage(text_statistics(docs, digest=True), "statistics")
     rules = fit_rules(statistics, read_table(spark, sf_dir, "labels"))
-    kept = quality_verdicts(statistics, rules).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = quality_verdicts(statistics, rules).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
+    keyed = docs.withColumn("__key", row_key(F.col("doc_id"), text_digest(F.col("text"))))
+    return keyed.join(kept, "__key", "left_semi").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,10 +31,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by similarity: the one with the smallest id."""
-    first = similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("__first"))
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
+    """One document of each group linked by similarity: the one with the smallest id.
+
+    Rows are told apart by a staged number.  A null id comes last; of rows of one id in a
+    group, the first by text digest and the other columns stays.
+    """
+    rows = numbered(docs)
+    groups = similar_groups(rows, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), text_digest(F.col("text")), *orderable(docs, "doc_id", "text"), F.col("__row")]
+    ranked = rows.select("__row", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]).alias("__order"))
+    first = ranked.join(groups, "__row").groupBy("component_id").agg(F.min_by("__row", "__order").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

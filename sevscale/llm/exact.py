@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sevscale.llm.frames import orderable, row_key, text_digest
+
 CHUNK = r"(?s).{512,4095}?[.\n!?;]|.{1,4096}"
 
 
@@ -74,6 +76,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; ids must identify rows."""
-    stays = exact_groups(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("__stays"))
-    return df.join(stays, F.col(id_col).eqNullSafe(F.col("__stays")), "left_semi")
+    """One row of each group of equal texts, with all its columns.
+
+    Rows are found by id and text.  Of rows that repeat both, the first by the other columns
+    stays; all but one per task go before the shuffle.
+    """
+    stays = exact_groups(df, id_col, text_col).where("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
+    keyed = df.withColumn("__key", row_key(F.col(id_col), text_digest(F.col(text_col))))
+    again = Window.partitionBy("__key").orderBy(*orderable(df, id_col, text_col) or ["__key"])
+    once = keyed.withColumn("__again", F.row_number().over(again)).where(F.col("__again") == 1)
+    return once.join(stays, "__key", "left_semi").select(*df.columns)

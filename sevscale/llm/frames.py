@@ -39,6 +39,28 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[^ \\t\\n\\x0B\\f\\r]+")).cast("bigint")
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of a text; null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def row_key(id_: Column, digest: Column) -> Column:
+    """One string for an id, which may be null, and the digest of its text."""
+    return F.concat(F.coalesce(F.concat(F.lit("i"), id_.cast("string")), F.lit("n")), F.lit(":"), digest)
+
+
+def orderable(df: DataFrame, *without: str) -> list[Column]:
+    """The other columns, in a form that orders rows; maps are written out."""
+    return [
+        F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in df.dtypes if c not in without
+    ]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows, staged with a number each (``__row``), so that rows alike can be told apart."""
+    return stage(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 class Scratch:
     """Staged tables of one call, removed once what is built on them has been written."""
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sevscale.llm.frames import count_words
+from sevscale.llm.frames import count_words, numbered, text_digest
 from sevscale.operators.ranking import hash_order
 
 WEIGHTS = (5, 2, 1)
@@ -73,7 +73,7 @@ def _time_of(demand: Column, start: Column, end: Column) -> Column:
 def curriculum(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS,
-    ramps: Sequence[tuple[float, float]] = RAMPS, seed: int = 0,
+    ramps: Sequence[tuple[float, float]] = RAMPS, seed: int = 0, keep: Sequence[str] = (),
 ) -> DataFrame:
     """Per row: size, source_size, target, taken words, and the positions of its uses.
 
@@ -83,8 +83,10 @@ def curriculum(
     ``positions`` has one time per round that takes any of it.  Documents without words take
     nothing.  Repeated rows are separate uses, ordered by id and size; ids may be null.
     A source without words has target 0.  Documents lie in the order of md5(seed:id).  Only the named columns are read.
+    Columns in ``keep`` come along and order rows of one id and size.
     """
     rows = df.select(
+        *keep,
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
         F.coalesce(count_words(F.col(text_col)), F.lit(0)).cast("bigint").alias("size"),
     ).withColumn("__order", hash_order("doc_id", seed)).withColumn("__bucket", F.substring("__order", 1, HEX_DIGITS))
@@ -98,7 +100,7 @@ def curriculum(
                 "source_size", "target", "ramp_from", "ramp_to")
     )
     inside = (
-        Window.partitionBy("source", "__bucket").orderBy("__order", "doc_id", "size")
+        Window.partitionBy("source", "__bucket").orderBy("__order", "doc_id", "size", *keep)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     laid = (
@@ -119,7 +121,7 @@ def curriculum(
     return laid.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("__rounds") * F.col("size") + F.col("__part")).cast("bigint").alias("taken"),
-        times.alias("positions"),
+        times.alias("positions"), *keep,
     )
 
 
@@ -136,15 +138,18 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents' rows in training order, each as often as the mix uses it.
 
     A use stands for the whole document; of the one document in which a source's last round
-    ends, the use stays if at least half of it was wanted.  Ids must identify rows.
+    ends, the use stays if at least half of it was wanted.  Rows are told apart
+    by a staged number, so they may repeat an id or have none.
     """
-    plan = curriculum(df, id_col, **options)
+    rows = numbered(df)
+    text = F.col(options.get("text_col", "text"))
+    plan = curriculum(rows.withColumn("__text_sha256", text_digest(text)), id_col, keep=["__text_sha256", "__row"], **options)
     half = F.greatest(F.floor(F.col("taken") / F.nullif("size", F.lit(0)) + 0.5), F.lit(0)).cast("int")
     used = plan.select(
-        F.col("doc_id").alias("__id"), F.explode(F.slice("positions", F.lit(1), half)).alias("__position")
+        "__row", F.explode(F.slice("positions", F.lit(1), half)).alias("__position")
     )
     return (
-        df.join(used, F.col(id_col) == F.col("__id"))
+        rows.join(used, "__row")
         .repartitionByRange("__position", id_col)
         .sortWithinPartitions("__position", id_col)
         .select(*df.columns)

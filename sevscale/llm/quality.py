@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sevscale.llm.frames import as_bytes, per_batch
+from sevscale.llm.frames import as_bytes, per_batch, text_digest
 from sevscale.llm.words import _SPACE, covered, sequence_numbers, word_numbers
 
 SYMBOLS = b"#*$%&|<>"
@@ -66,19 +66,25 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def text_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_statistics(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
+) -> DataFrame:
     """Counts per row, ``base_failed``, and the ratios rules are made of.
 
     A null text counts as empty and fails the base rules, as every text under 20 words does.
-    A ratio over nothing is 0.
+    A ratio over nothing is 0.  With ``digest``, the text's SHA-256 comes along as ``text_sha256``.
     """
+    digests = ["text_sha256"] if digest else []
 
     def rows(batch: dict[str, list]) -> dict[str, object]:
         counts = list(zip(*map(measure, batch["text"]))) or [()] * len(COUNTS)
-        return {"doc_id": batch["doc_id"]} | dict(zip(COUNTS, counts))
+        return {c: batch[c] for c in ["doc_id", *digests]} | dict(zip(COUNTS, counts))
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
-    out = per_batch(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), schema, rows)
+    schema = ", ".join(["doc_id long", *[f"{c} string" for c in digests], *[f"{c} long" for c in COUNTS]])
+    out = per_batch(df.select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+        *[text_digest(F.col(text_col)).alias(c) for c in digests],
+    ), schema, rows)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return out.select("*", failed.alias("base_failed"), *[
         F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0).alias(name) for name, (a, b) in RATIOS.items()
@@ -172,7 +178,7 @@ def fit_rules(
     rows = (
         statistics.where(~F.col("base_failed")).join(one, F.col("doc_id") == F.col("__id"))
         .select(F.xxhash64("doc_id").alias("__draw"), "doc_id", "__quality", *names)
-        .orderBy("__draw", "doc_id").limit(sample_rows).collect()
+        .orderBy("__draw", "doc_id", *names).limit(sample_rows).collect()
     )
     if not rows:
         return []

@@ -385,6 +385,25 @@ def test_pipeline_equals_its_parts(spark, small, tmp_path):
     assert sum(r["piece"] == 0 for r in after) == len(before)
 
 
+def test_pipeline_decides_row_by_row(spark, docs, tmp_path):
+    """A repeated row, one id with two texts, and null ids."""
+    a, b, d, e = (" ".join(f"{c}{i}" for i in range(60)) for c in "abde")
+    rows = [(1, a), (1, a), (2, b), (2, "too short"), (2, a + " end"), (3, d + " end"), (None, d), (None, d), (None, e),
+            (None, "short too"), (None, e)]
+    table = docs(*rows).drop("label")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = lambda f, df: sorted(((r["doc_id"], r["text"]) for r in f(spark, df, str(tmp_path)).collect()), key=str)
+    wanted = lambda *r: sorted(r, key=str)
+    long = [r for r in rows if len(r[1]) > 20]
+    assert kept(corpus_pipeline.quality, table) == wanted(*long)
+    assert kept(corpus_pipeline.exact, table) == wanted(*set(rows))
+    assert kept(corpus_pipeline.near, docs(*long)) == wanted((1, a), (2, b), (3, d + " end"), (None, e))
+    assert kept(corpus_pipeline.mix, docs(*long)) == wanted(*long)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == [1, 2, 3, None]
+
+
 @pytest.mark.parametrize("name", ["op3_best_fit_packing", "op4_secret_scan", "op7_quality_rules", "op10_url_filter"])
 def test_whole_tables(spark, small, name):
     table, key = ("pages", "page_id") if "url" in name else ("documents", "doc_id")
