@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 2,048."""
-    return pack(docs, VOCABULARY)
+    return pack(docs, VOCABULARY, added=True)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near duplicates", near),

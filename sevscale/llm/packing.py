@@ -35,7 +35,10 @@ def _encoding(vocabulary: str) -> tiktoken.Encoding:
     Ids of such a vocabulary rise in merge order, so they serve as merge ranks.
     """
     with open(vocabulary, encoding="utf-8") as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model, added = whole["model"], whole.get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at their neighbours are not supported")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in plain]
     letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
@@ -46,12 +49,17 @@ def _encoding(vocabulary: str) -> tiktoken.Encoding:
     }
     # Fixed value: the vocabulary's split pattern.
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks,
+                             special_tokens={t["content"]: t["id"] for t in added})
 
 
-def token_ids(text: str, vocabulary: str) -> np.ndarray:
-    """Ids of one text and the end token, little-endian 32-bit."""
-    ids = _encoding(vocabulary).encode_ordinary(text)
+def token_ids(text: str, vocabulary: str, added: bool = False) -> np.ndarray:
+    """Ids of one text and the end token, little-endian 32-bit.
+
+    With ``added``, the file's added tokens are cut out first and get their own ids.
+    """
+    encoding = _encoding(vocabulary)
+    ids = encoding.encode(text, allowed_special="all") if added else encoding.encode_ordinary(text)
     ids.append(END)
     return np.array(ids, "<u4")
 
@@ -63,14 +71,15 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def document_pieces(
-    df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
+    added: bool = False,
 ) -> DataFrame:
     """One row per piece of each document; a null text counts as empty (the end token alone)."""
 
     def rows(batch: dict[str, list]) -> dict[str, object]:
         out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
         for doc, text in zip(batch["doc_id"], batch["text"]):
-            ids = token_ids(text or "", vocabulary)
+            ids = token_ids(text or "", vocabulary, added)
             for i, (start, length) in enumerate(cut(len(ids), capacity)):
                 for c, v in zip(out, (doc, i, start, length, zlib.crc32(ids[start:start + length].tobytes()))):
                     out[c].append(v)
@@ -200,17 +209,19 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
 
 
 def pack(
-    df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
+    added: bool = False,
 ) -> DataFrame:
     """Per piece: the columns of PIECES, ``sequence_id`` and ``offset``.
 
     Every row is packed, also rows that repeat others and rows without id.  Null and empty
     texts are one end token.  Texts are tokenized once, whole, and staged as pieces.  No
     rows in, no rows out.  Only the two named columns are read.
+    With ``added``, ids are the tokenizer's as loaded; else added tokens are read as plain text.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
-    pieces = scratch.keep(document_pieces(df, vocabulary, capacity, id_col, text_col), "pieces")
+    pieces = scratch.keep(document_pieces(df, vocabulary, capacity, id_col, text_col, added), "pieces")
     keyed = pieces.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS)))
     sizes = keyed.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     # At most capacity rows reach the driver, whatever the input.

@@ -39,7 +39,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(read_table(spark, sf_dir, "documents"), VOCABULARY)
+    return pack(read_table(spark, sf_dir, "documents"), VOCABULARY, added=True)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,6 +203,23 @@ def test_pack_round_trip(docs):
         assert at <= 2048
 
 
+@pytest.mark.parametrize("text", [
+    "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext|> don't  \n<|endoftext", "ñandú <|endoftext|>日本"])
+def test_added_tokens_as_loaded(text):
+    from tokenizers import Tokenizer
+
+    ids = packing.token_ids(text, VOCABULARY, added=True).tolist()
+    assert ids == [*Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids, packing.END]
+
+
+def test_queries_pack_added_tokens_as_loaded(spark, docs, tmp_path):
+    table = docs((1, "a <|endoftext|> b"))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    for got in (QUERIES["op3_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, table, str(tmp_path))):
+        assert [(r["length"], r["ids_crc32"]) for r in got.collect()] == [
+            (5, zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes()))]
+
+
 def test_plan_places_every_piece_once():
     draw = random.Random(1)
     for n, most in ((0, 10), (7, 2048), (400, 2048), (5000, 700)):
