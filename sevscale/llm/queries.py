@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sevscale.llm.chat import format_chats
+from sevscale.llm.collocations import mine_collocations
 from sevscale.llm.exact import exact_groups
 from sevscale.llm.jaccard import similar_groups
 from sevscale.llm.langid import fit_profiles, identify
+from sevscale.llm.lines import line_digests, without_repeated_lines
 from sevscale.llm.mixing import by_position, curriculum
 from sevscale.llm.packing import pack
 from sevscale.llm.quality import fit_rules, quality_verdicts, text_statistics
+from sevscale.llm.resampling import importance_resample
 from sevscale.llm.secrets import digest_spans, find_secrets
 from sevscale.llm.substring import deduplicated_words
 from sevscale.llm.urls import url_verdicts
@@ -75,6 +78,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents against the benchmark, and the rank of those drawn; edges as in ``importance_resample``."""
+    return importance_resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is left of every document; edges as in ``without_repeated_lines``."""
+    return line_digests(without_repeated_lines(read_table(spark, sf_dir, "documents")))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language; edges as in ``mine_collocations``."""
+    return mine_collocations(read_table(spark, sf_dir, "documents"))
+
+
 # Words as the operators take them: runs of characters other than ASCII white space.
 _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^ \t\n\x0B\f\r]+')"
 
@@ -165,11 +184,101 @@ FROM c WHERE NOT EXISTS (SELECT 1 FROM c d WHERE len(d.l) > len(c.l) AND list_sl
 GROUP BY l
 """
 
+# The table-driven form of the 32-bit checksum; its table is computed from the polynomial.
+OP11_SQL = r"""
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT i, i, 0 FROM range(256) t(i) UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (SELECT list(c ORDER BY i) AS tab FROM steps WHERE k = 8
+), texts AS (
+  SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), words AS (
+  SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM texts
+), features AS (
+  SELECT side, id, unnest(w) AS f FROM words UNION ALL
+  SELECT side, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+), forms AS (SELECT DISTINCT f FROM features
+), bytes AS (
+  SELECT f, list_transform(range(0, octet_length(encode(f))), lambda i:
+    ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT) AS b FROM forms
+), placed AS (
+  SELECT f, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[xor(c, x) % 256 + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM bytes, crc
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM features JOIN placed USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE)
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM counts
+), weights AS (
+  SELECT id, count(*) AS n, floor(sum(gain) / count(*))::BIGINT AS weight
+  FROM features JOIN placed USING (f) JOIN gains USING (bucket) WHERE side = 0 GROUP BY id
+), scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, len(w.w) AS n_words,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM documents d LEFT JOIN weights x ON x.id = d.doc_id JOIN words w ON w.side = 0 AND w.id = d.doc_id
+), lined_up AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+    25 * count(*) FILTER (n_words >= 20) OVER () // 100 AS drawn FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM lined_up
+"""
+
+OP12_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+), k AS (
+  SELECT *, translate(regexp_replace(line, '^[ 	
+]+|[ 	
+]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), r AS (
+  SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (r.key IS NOT NULL AND keep <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (r.key IS NULL OR keep = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY doc_id
+"""
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p
+), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
+), f AS (
+  SELECT lang, m, phrase, count(*) AS f FROM (
+    SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(list_slice(w, i, i + m - 1), ' '))) AS phrase
+    FROM w, range(1, 6) t(m)) GROUP BY ALL HAVING count(*) >= 100
+), c AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1
+), cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, x.f AS l, y.f AS r, n.n,
+    (1000::HUGEINT * c.a * n.n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM c JOIN range(1, 5) t(k) ON k < c.m JOIN n ON n.lang = c.lang
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(ws, 1, k), ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(ws, k + 1, c.m), ' ')
+), s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT DISTINCT lang, a, array_to_string(list_slice(ws, i, i + q - 1), ' ') AS part
+  FROM c JOIN range(2, 5) t(q) ON q < c.m JOIN range(1, 5) u(i) ON i + q - 1 <= c.m
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM s WHERE NOT EXISTS (
+  SELECT 1 FROM inner_parts i WHERE i.lang = s.lang AND i.part = s.phrase AND 100 * i.a >= 100 * s.a)
+QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_language_id, op2_jaccard_join, op3_best_fit_packing, op4_secret_scan, op5_exact_dedup,
     op6_substring_dedup, op7_quality_rules, op8_source_mixing, op9_chat_format, op10_url_filter,
+    op11_importance_resampling, op12_line_dedup, op13_phrase_collocations,
 )}
 ORACLES: dict[str, str] = {
     "op2_jaccard_join": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_substring_dedup": OP6_SQL,
     "op8_source_mixing": OP8_SQL, "op9_chat_format": OP9_SQL,
+    "op11_importance_resampling": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_phrase_collocations": OP13_SQL,
 }
