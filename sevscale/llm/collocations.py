@@ -13,6 +13,7 @@ in it lets a window run on, which costs a row and changes no count.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,37 +22,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sevscale.llm.frames import Scratch
+from sevscale.llm.words import scramble, spelled_numbers
 
 MAX_WORDS = 5
 MIN_COUNT = 100
 TOP = 2000
 ABSORB = 100  # percent of a phrase's occurrences that lie inside one longer phrase
-PIECE_ENDS = "[.,;:!?\\n\\x0B\\f\\r]"
+PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 # The bitmap has this many bits for each frequent pair, within these limits (32 kB to 128 MB).
 BITS_PER_PAIR, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 30
 CHUNK_BITS = 1 << 18
 COUNT = "decimal(16,0)"  # so that 1000 * a * n fits a decimal of 38 digits
+BATCH_BYTES = 16 << 20  # text looked at in one go; a longer text is a batch of its own
 
+_END, _BLANK, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_END[list(PIECE_ENDS)] = True
+_BLANK[list(BLANKS)] = True
+_LOWER[65:91] += 32
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-def piece_words(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, words): the words of every piece that has any; A-Z lowered."""
-    lowered = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    pieces = df.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"),
-                       F.explode(F.split(lowered, PIECE_ENDS)).alias("piece"))
-    return pieces.select("lang", F.filter(F.split("piece", "[ \\t]+"), lambda w: w != "").alias("words")).where(F.size("words") > 0)
 
+class BatchWords:
+    """The words of a batch of texts, as arrays over all of them.
 
-def _pair_hashes(words: Column, lang: Column) -> Column:
-    """One 64-bit number per pair of neighbours."""
-    after = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.transform(F.arrays_zip(F.slice(words, 1, F.size(words) - 1).alias("a"), after.alias("b")),
-                       lambda p: F.xxhash64(lang, p["a"], p["b"]))
-
+    ``words`` holds them with A-Z lowered, ``lang`` their language; ``follows`` is true for a word
+    that has a neighbour before it in its piece, and ``pairs`` numbers such pairs per language.
+    """
 
-def frequent_pairs(pieces: DataFrame, min_count: int) -> DataFrame:
+    def __init__(self, langs: pa.Array, texts: pa.Array):
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        raw = _LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]]]
+        ends = ends - ends[0]
+        end = _END[raw]
+        inside = ~(end | _BLANK[raw])
+        opens = np.zeros(len(raw) + 1, bool)  # first bytes of texts
+        opens[ends[:-1]] = True
+        before = np.concatenate(([False], inside[:-1])) & ~opens[:-1]
+        starts = np.flatnonzero(inside & ~before)
+        letters = raw[inside]
+        place = np.cumsum(inside) - 1
+        at = np.append(place[starts], len(letters)) if len(starts) else np.zeros(1, np.int64)
+        self.words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(letters))
+        text = np.searchsorted(ends, starts, "right") - 1
+        codes = langs.dictionary_encode()
+        names = [x.encode() for x in codes.dictionary.to_pylist()]
+        salt = np.array([np.frombuffer(hashlib.sha256(x).digest(), np.uint64)[0] for x in names], np.uint64)
+        code = codes.indices.to_numpy()[text]
+        self.lang = pa.DictionaryArray.from_arrays(pa.array(code, pa.int32()), codes.dictionary)
+        piece = np.cumsum(end)[starts] if len(raw) else starts
+        self.follows = np.zeros(len(starts), bool)
+        self.follows[1:] = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
+        numbers = spelled_numbers(letters, at)
+        later = np.flatnonzero(self.follows)
+        self.pairs = scramble(numbers[later - 1] * _LEFT + numbers[later] * _RIGHT + salt[code[later]]).view(np.int64)
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[BatchWords]:
+    for batch in batches:
+        langs, texts = batch.column(0), batch.column(1).cast(pa.large_string())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + BATCH_BYTES, "right")) - 1)
+            yield BatchWords(langs.slice(first, last - first), texts.slice(first, last - first))
+            first = last
+
+
+def texts_by_lang(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
+                     F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def frequent_pairs(texts: DataFrame, min_count: int) -> DataFrame:
     """(hash) of word pairs of one language that occur at least ``min_count`` times."""
-    hashes = pieces.where(F.size("words") > 1).select(F.explode(_pair_hashes(F.col("words"), F.col("lang"))).alias("hash"))
-    return hashes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_count).select("hash")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _batches(batches):
+            pairs, n = np.unique(held.pairs, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["hash", "n"])
+
+    counts = texts.mapInArrow(count, "hash long, n long")
+    return counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("hash")
 
 
 def pair_bitmap(pairs: DataFrame, n_pairs: int) -> np.ndarray:
@@ -77,42 +128,48 @@ def pair_bitmap(pairs: DataFrame, n_pairs: int) -> np.ndarray:
     return out
 
 
-def frequent_runs(pieces: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(lang, words): pieces cut wherever two neighbours are not a frequent pair."""
-    bits = len(bitmap) * 8
-    held = pieces.sparkSession.sparkContext.broadcast(bitmap)
+def frequent_runs(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(lang, words, n): pieces cut wherever two neighbours are not a frequent pair.
+
+    Words left alone are counted within their batch; other runs are one row each.
+    """
+    bits = np.uint64(len(bitmap) * 8)
+    table = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
-        for batch in batches:
-            lists, hashes = batch.column("words"), batch.column("hashes")
-            words = lists.flatten()
-            if not len(words):
+        for held in _batches(batches):
+            n = len(held.words)
+            if not n:
                 continue
-            place = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64) % bits
-            joined = (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-            sizes = np.diff(lists.offsets.to_numpy())
-            first = np.ones(len(words), bool)  # the first word of a piece opens a run
-            inside = np.ones(len(words), bool)
-            inside[np.cumsum(sizes) - sizes] = False
-            first[inside] = joined == 0
-            starts = np.flatnonzero(first).astype(np.int32)
-            piece = np.repeat(np.arange(len(sizes)), sizes)[starts]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("lang").take(pa.array(piece)),
-                pa.ListArray.from_arrays(pa.array(np.append(starts, len(words)).astype(np.int32)), words),
-            ], names=["lang", "words"])
-
-    hashes = F.when(F.size("words") > 1, _pair_hashes(F.col("words"), F.col("lang"))).otherwise(F.array().cast("array<bigint>"))
-    return pieces.select("lang", "words", hashes.alias("hashes")).mapInArrow(cut, "lang string, words array<string>")
+            place = held.pairs.view(np.uint64) % bits
+            joined = held.follows.copy()
+            joined[held.follows] = (table.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+            starts = np.flatnonzero(~joined)
+            sizes = np.diff(np.append(starts, n))
+            single, longer = starts[sizes == 1], starts[sizes > 1]
+            alone = pa.table({"lang": held.lang.take(pa.array(single)).cast(pa.string()), "word": held.words.take(pa.array(single))})
+            counted = alone.group_by(["lang", "word"]).aggregate([([], "count_all")])
+            yield _run_rows(counted["lang"].combine_chunks(), counted["word"].combine_chunks(),
+                            np.arange(len(counted) + 1), counted["count_all"].combine_chunks())
+            within = np.repeat(sizes > 1, sizes)
+            ends = np.concatenate(([0], np.cumsum(sizes[sizes > 1])))
+            yield _run_rows(held.lang.take(pa.array(longer)).cast(pa.string()), held.words.filter(pa.array(within)),
+                            ends, pa.array(np.ones(len(longer), np.int64)))
+
+    return texts.mapInArrow(cut, "lang string, words array<string>, n long")
+
+
+def _run_rows(lang: pa.Array, words: pa.Array, ends: np.ndarray, n: pa.Array) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.cast(pa.string()))
+    return pa.RecordBatch.from_arrays([lang, lists, n], names=["lang", "words", "n"])
 
 
 def longest_windows(runs: DataFrame, width: int) -> DataFrame:
     """(lang, w1 ... w<width>, n): every word with the words after it, padded by ``''``."""
-    at = runs.select("lang", "words", F.posexplode("words").alias("pos", "w1"))
+    at = runs.select("lang", "words", "n", F.posexplode("words").alias("pos", "w1"))
     leads = [F.coalesce(F.get("words", F.col("pos") + k), F.lit("")).alias(f"w{k + 1}") for k in range(1, width)]
     columns = [f"w{k}" for k in range(1, width + 1)]
-    return at.select("lang", "w1", *leads).groupBy("lang", *columns).agg(F.count("*").alias("n"))
+    return at.select("lang", "w1", *leads, "n").groupBy("lang", *columns).agg(F.sum("n").alias("n"))
 
 
 def phrase_counts(windows: DataFrame, width: int, min_count: int) -> DataFrame:
@@ -184,9 +241,9 @@ def mine_collocations(
     other columns are not read.
     """
     scratch = Scratch(df.sparkSession)
-    pieces = piece_words(df, text_col, lang_col)
-    pairs = scratch.keep(frequent_pairs(pieces, min_count), "frequent_pairs")
-    runs = frequent_runs(pieces, pair_bitmap(pairs, pairs.count()))
+    texts = texts_by_lang(df, text_col, lang_col)
+    pairs = scratch.keep(frequent_pairs(texts, min_count), "frequent_pairs")
+    runs = frequent_runs(texts, pair_bitmap(pairs, pairs.count()))
     counts = scratch.keep(phrase_counts(longest_windows(runs, max_words), max_words, min_count), "phrase_counts")
     scored = scratch.keep(score_phrases(counts), "scored_phrases")
     # a limit per language is taken in every task before rows of one language come together

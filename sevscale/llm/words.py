@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 
 _LETTERS = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64)
+_LETTERS_ALL = _LETTERS.copy()
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LETTERS[_SPACE] = 0
@@ -50,6 +51,17 @@ def word_numbers(data: bytes) -> np.ndarray:
     return scramble(np.add.reduceat(_LETTERS[raw[first:]] * powers[place], starts - first))
 
 
+def spelled_numbers(letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One number per word; word i is ``letters[ends[i]:ends[i + 1]]``, and none is empty."""
+    if len(ends) < 2:
+        return np.zeros(0, np.uint64)
+    lengths = np.diff(ends)
+    place = np.arange(len(letters)) - np.repeat(ends[:-1], lengths)
+    longest = int(lengths.max())
+    powers = _BYTE_POWERS if longest <= 256 else _powers(_BYTE_BASE, longest)
+    return scramble(np.add.reduceat(_LETTERS_ALL[letters] * powers[place], ends[:-1]))
+
+
 def sequence_numbers(words: np.ndarray, k: int) -> np.ndarray:
     """One number per run of k words; none if there are fewer."""
     if len(words) < k:
