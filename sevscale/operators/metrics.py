@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sevscale.operators.ranking import in_id_ranges
 from sevscale.operators.splits import assign_batches
+from sevscale.sources.staging import stage
 
 
 def fold_mean(preds: DataFrame, key: str = "id", out: str = "pred") -> DataFrame:
@@ -138,20 +141,60 @@ def to_wide(preds: DataFrame, models: Sequence[int], key: str = "id") -> DataFra
     return wide.select(key, *[F.col(f"`{m}`").alias(f"m{m}") for m in models])
 
 
+def _pair_sums(columns: Sequence[str], shift: Sequence[float]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per task and column pair: rows, sums, squares and product over rows that have both."""
+    m = len(columns)
+    first, second = np.triu_indices(m, 1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q, p, odd = (np.zeros((m, m)) for _ in range(5))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:m]]) - shift
+            have = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns[:m]])
+            bad = have & ~np.isfinite(x)
+            x = np.where(have & ~bad, x, 0.0)
+            mask = have.astype(float)
+            n += mask.T @ mask
+            s += x.T @ mask  # sum of the row's column where the other one is there
+            q += (x * x).T @ mask
+            p += x.T @ x
+            odd += bad.astype(float).T @ mask
+        i, j = first, second
+        yield pa.RecordBatch.from_arrays([
+            pa.array(v) for v in (i.astype(np.int64), j.astype(np.int64), n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], p[i, j], odd[i, j] + odd[j, i])
+        ], names=PAIR_SUMS)
+
+    return add
+
+
+PAIR_SUMS = ["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy", "odd"]
+
+
 def corr_upper(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Absolute Pearson correlation of every column pair, in one pass; NULL if constant."""
+    """Absolute Pearson correlation of every column pair, in one pass; NULL if constant.
+
+    Each task multiplies its rows as matrices and hands on one row of sums per pair, so the plan
+    does not grow with the number of columns.  Sums are taken of distances from the first row,
+    which keeps them exact where values are large and close together.  A pair with a value that is not
+    a number has none.
+    """
     if len(columns) < 2:
         raise ValueError("needs at least two columns")
-    cells = []
-    for a, b in combinations(columns, 2):
-        x = F.when(F.col(b).isNotNull(), F.col(a))
-        y = F.when(F.col(a).isNotNull(), F.col(b))
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        cells.append(F.struct(
-            F.lit(a).alias("col_i"), F.lit(b).alias("col_j"),
-            F.abs(F.try_divide(F.covar_pop(x, y), spread)).alias("r"),
-        ))
-    return wide.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    values = wide.select(*[F.col(f"`{c}`").cast("double") for c in columns])
+    head = values.first()
+    shift = [x if x is not None and math.isfinite(x) else 0.0 for x in (head or [0.0] * len(columns))]
+    schema = "i long, j long, " + ", ".join(f"{c} double" for c in PAIR_SUMS[2:])
+    total = values.mapInArrow(_pair_sums(columns, shift), schema).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in PAIR_SUMS[2:]])
+    names = F.array(*[F.lit(c) for c in columns])
+    var_x, var_y = (F.col(f"s{a}{a}") - F.col(f"s{a}") * F.col(f"s{a}") / F.col("n") for a in "xy")
+    # what is left of a constant column after rounding is no spread
+    flat = (var_x <= F.col("sxx") * 1e-14) | (var_y <= F.col("syy") * 1e-14)
+    r = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(var_x * var_y)
+    return total.select(
+        F.get(names, F.col("i").cast("int")).alias("col_i"), F.get(names, F.col("j").cast("int")).alias("col_j"),
+        F.when(F.col("odd") > 0, float("nan")).when((F.col("n") == 0) | flat, None).otherwise(F.abs(r)).alias("r"),
+    )
 
 
 def correlated_columns(
@@ -225,61 +268,87 @@ def best_by_fold(epochs: DataFrame, mode: str = "min", model: str = "model") ->
     )
 
 
+STOP_BLOCK = 1 << 16  # checks of one series that come together
+
+
+def _positions(epochs: DataFrame, keys: Sequence[str], signed: Column) -> DataFrame:
+    """(keys, epoch, v, i): the checks of each series numbered from 1, by epoch ranges."""
+    keyed = in_id_ranges(epochs.select(*keys, "epoch", signed.alias("v")), "epoch", "__b")
+    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keyed.groupBy(*keys, "__b").agg(F.count("*").alias("__n")).select(
+        *[F.col(k).alias(f"__{k}") for k in keys], F.col("__b").alias("__at"),
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0"),
+    )
+    same = F.col("__b") == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    line = Window.partitionBy(*keys, "__b").orderBy("epoch")
+    return keyed.join(starts, same).select(
+        *keys, "epoch", "v", (F.col("__n0") + F.row_number().over(line)).alias("i"))
+
+
 def early_stop(
     epochs: DataFrame, keys: Sequence[str], min_delta: float = 0.001, patience: int = 5,
-    mode: str = "min",
+    mode: str = "min", block: int = STOP_BLOCK,
 ) -> DataFrame:
     """Epoch at which each group stops (NULL: never) and the best value by then.
 
     The best only moves on an improvement of more than ``min_delta``; ``patience`` checks
-    in a row without one stop the run.  Such a move is always a new strict minimum of the
-    series, so only those rows enter the fold that walks the series.  Numbering and minima
-    come from epoch ranges, so a very long series does not sit in one task.
+    in a row without one stop the run.  So a move leads to a move at most ``patience`` checks
+    later, whatever came before it.  Blocks of ``block`` checks therefore say apart from each
+    other, for each of their first ``patience`` checks, where a best that stands there leads:
+    to a check at the start of the next block, or to its last move.  A series is then walked
+    block by block; no task holds more of it than one block or one row per block.
     """
     if mode not in ("min", "max"):
         raise ValueError(f"mode must be 'min' or 'max', not {mode!r}")
+    if patience < 1:
+        raise ValueError("patience must be at least 1")
+    block = max(block, patience)
     signed = F.col("value") if mode == "min" else -F.col("value")
-    keyed = in_id_ranges(epochs.select(*keys, "epoch", signed.alias("v")), "epoch", "__b")
-    earlier = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = keyed.groupBy(*keys, "__b").agg(
-        F.count("*").alias("__n"), F.min("v").alias("__low")
-    ).select(
-        *keys, "__b",
-        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0"),
-        F.min("__low").over(earlier).alias("__low0"),
-    )
-    line = Window.partitionBy(*keys, "__b").orderBy("epoch")
-    low = F.min("v").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    series = keyed.join(starts, [*keys, "__b"]).select(
-        *keys, "epoch", "v",
-        (F.col("__n0") + F.row_number().over(line)).alias("i"),
-        F.least("__low0", low).alias("low"),
-    )
-    record = F.col("low").isNull() | (F.col("v") < F.col("low"))
-    moves = F.array_sort(F.collect_list(F.when(record, F.struct("i", "v"))))
-    start = F.struct(
-        F.lit(float("inf")).alias("best"), F.lit(0).cast("bigint").alias("at"), F.lit(False).alias("done")
-    )
-
-    def step(acc: Column, row: Column) -> Column:
-        done = acc["done"] | (row["i"] - acc["at"] > patience)
-        better = ~done & (row["v"] < acc["best"] - min_delta)
-        return F.struct(
-            F.when(better, row["v"]).otherwise(acc["best"]).alias("best"),
-            F.when(better, row["i"]).otherwise(acc["at"]).alias("at"),
-            done.alias("done"),
-        )
-
-    ended = series.groupBy(*keys).agg(
-        F.aggregate(moves, start, step).alias("end"), F.max("i").alias("n")
-    ).withColumn("stop_i", F.col("end.at") + patience)
+    series = stage(_positions(epochs, keys, signed.cast("double")), "early_stop")
+
+    def check(i: Column, v: Column, at: Column) -> Column:
+        return F.struct(at.cast("bigint").alias("b"), F.struct(i.cast("bigint").alias("i"), v.alias("v")).alias("c"))
+
+    # check 0 stands for the start, with an infinite value; a block also sees the next one's start
+    i, v, own = F.col("i"), F.col("v"), F.floor(F.col("i") / block)
+    none = F.lit(None).cast("struct<b:bigint,c:struct<i:bigint,v:double>>")
+    seen = series.select(*keys, F.inline(F.filter(F.array(
+        check(i, v, own),
+        F.when((i % block < patience) & (own > 0), check(i, v, own - 1)).otherwise(none),
+        F.when(i == 1, check(F.lit(0), F.lit(float("inf")), F.lit(0))).otherwise(none),
+    ), lambda s: s.isNotNull())))
+
+    end = (F.col("b") + 1) * block
+
+    def step(heads: Column, row: Column) -> Column:
+        def move(head: Column) -> Column:
+            better = (head["i"] < end) & (row["i"] > head["i"]) & (row["i"] - head["i"] <= patience) & (
+                row["v"] < head["v"] - min_delta)
+            return F.when(better, row).otherwise(head)
+
+        return F.transform(heads, move)
+
+    checks = F.array_sort(F.collect_list("c"))
+    led = seen.groupBy(*keys, "b").agg(checks.alias("checks")).select(
+        *keys, "b", F.aggregate("checks", F.slice("checks", 1, patience), step).alias("heads"))
+
+    def onward(head: Column, row: Column) -> Column:
+        here = F.floor(head["i"] / block) == row["b"]
+        return F.when(here, F.get(row["heads"], (head["i"] % block).cast("int"))).otherwise(head)
+
+    begin = F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(float("inf")).alias("v"))
+    walked = led.groupBy(*keys).agg(
+        F.aggregate(F.array_sort(F.collect_list(F.struct("b", "heads"))), begin, onward).alias("end")
+    ).withColumn("stop_i", F.col("end.i") + patience)
     named = series.select(*[F.col(k).alias(f"__{k}") for k in keys], "i",
                           F.col("epoch").alias("stopped_epoch"))
     match = F.col("stop_i") == F.col("i")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    best = F.col("end.best") if mode == "min" else -F.col("end.best")
-    return ended.join(named, match, "left").select(
+    best = F.col("end.v") if mode == "min" else -F.col("end.v")
+    return walked.join(named, match, "left").select(
         *keys, F.col("stopped_epoch").cast("bigint").alias("stopped_epoch"),
         best.alias("best_value"),
     )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StructField, StructType
 
+from sevscale.sources.records import csv_records
+
 # Input layouts.
 FLAG_SCHEMA = (
     "id string, comment_text string, toxic int, severe_toxic int, obscene int, "
@@ -38,30 +40,33 @@ def _typed(field: StructField) -> Column:
 
 
 def read_comments(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """Read a headered CSV whose texts may hold quoted line breaks and doubled quotes.
+    """Read headered CSV whose texts may hold quoted line breaks and doubled quotes.
 
-    The columns are found by name, so a file may hold them in any order and hold more than
-    the schema asks for; files of one folder must agree, or reading fails.  Line breaks inside quotes keep Spark from splitting a file: have
-    many files, or convert a single large one with ``comments_to_parquet``.  Texts such as
-    ``NA`` stay texts.
+    One large file is read by many tasks: see ``sevscale.sources.records``.  Quotes must stand
+    around whole fields, doubled inside them; a file that ends inside quotes fails.  The columns
+    are found by name, so a file may hold them in any order and hold more than the schema asks
+    for; files of one folder must agree, or reading fails.  Texts such as ``NA`` stay texts.
     """
     wanted = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("enforceSchema", False)
-        .csv(path)
-    )
-    return raw.select(*[_typed(f).alias(f.name) for f in wanted.fields])
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    names = spark.read.options(header=True, **options).csv(path).columns
+    options["lineSep"] = "\n"  # carriage returns in texts stay
+    text = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
+    records = csv_records(spark, path)
+    parsed = records.select("first", F.from_csv("record", text, options).alias("r"))
+    agrees = F.lit(True)
+    for i, n in enumerate(names):
+        # Spark names a column without a name after its place and adds the place to repeated names
+        value = F.coalesce(F.col("r").getField(n), F.lit("_c"))
+        agrees = agrees & ((value == n) | (F.concat(value, F.lit(str(i))) == n))
+    odd = F.raise_error(F.lit(f"a file of {path} has another header than {','.join(names)}")).cast("boolean")
+    rows = parsed.where(~F.when(F.col("first"), F.when(agrees, True).otherwise(odd)).otherwise(False)).select("r.*")
+    return rows.select(*[_typed(f).alias(f.name) for f in wanted.fields])
 
 
 def comments_to_parquet(spark: SparkSession, path: str, schema: str, out: str) -> DataFrame:
-    """One-time conversion, spread over the cluster, so that later reads split and prune."""
-    read_comments(spark, path, schema).repartition(
-        spark.sparkContext.defaultParallelism
-    ).write.parquet(out)
+    """One-time conversion, so that later reads prune columns and push filters down."""
+    read_comments(spark, path, schema).write.parquet(out)
     return spark.read.parquet(out)
 
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -130,3 +131,65 @@ def test_blend(spark):
     assert got[1] == pytest.approx((0.25 + 0.2, 0.5 + 1.0))
     assert got[2] == pytest.approx((1.0 + 0.4, 0.0 + 0.2))
     assert scores.first().pred == pytest.approx(0.5 + 4.0)
+
+
+def stop_with_gaps(values, min_delta, patience):
+    best, waited, end = math.inf, 0, None
+    for i, v in enumerate(values):
+        if v is not None and v < best - min_delta:
+            best, waited = v, 0
+        else:
+            waited += 1
+            if waited == patience:
+                end = i
+                break
+    return end, best
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 1 << 16])
+def test_early_stop_by_blocks(spark, block):
+    draw = random.Random(block)
+    rows, want = [], {}
+    for run in range(40):
+        values = [None if draw.random() < .1 else round(draw.random() * 10 - i * draw.choice([0, .5, 2]), 3)
+                  for i in range(draw.randrange(1, 40))]
+        rows += [(run, i * 3, v) for i, v in enumerate(values)]
+        end, best = stop_with_gaps(values, 0.7, 3)
+        want[run] = (None if end is None else end * 3, best)
+    df = spark.createDataFrame(rows, "run int, epoch long, value double").repartition(5)
+    got = {r.run: (r.stopped_epoch, r.best_value) for r in M.early_stop(df, ["run"], 0.7, 3, block=block).collect()}
+    assert got == want
+
+
+def test_early_stop_of_a_long_falling_series(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.lit(1).alias("run"), F.col("id").alias("epoch"), (-F.col("id")).cast("double").alias("value"))
+    more = df.unionByName(spark.range(n, n + 9).select(F.lit(1).alias("run"), F.col("id").alias("epoch"), F.lit(0.0).alias("value")))
+    ends = M.early_stop(more, ["run"], 0.5, 5)
+    assert ends.collect() == [(1, n + 4, 1.0 - n)]
+    assert M.early_stop(df, ["run"], 0.5, 5).collect() == [(1, None, 1.0 - n)]
+
+
+def test_correlation_of_many_columns(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(400, 5)) @ draw.normal(size=(5, 300)) + draw.normal(size=(400, 300)) + 1e6
+    base[:, 7] = 3.25
+    rows = [[None if (i + j) % 17 == 0 else float(x) for j, x in enumerate(r)] for i, r in enumerate(base)]
+    names = [f"m{j}" for j in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(4)
+    got = {(r.col_i, r.col_j): r.r for r in M.corr_upper(df, names).collect()}
+    assert len(got) == 300 * 299 // 2
+    x = np.array([[np.nan if v is None else v for v in r] for r in rows])
+    for i, j in [(0, 1), (3, 250), (17, 34), (298, 299), (0, 17)]:
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert got[f"m{i}", f"m{j}"] == pytest.approx(abs(np.corrcoef(x[both, i], x[both, j])[0, 1]), abs=1e-9)
+    assert got["m3", "m7"] is None
+
+
+def test_correlation_without_rows_or_numbers(spark):
+    df = spark.createDataFrame([(1.0, None, 2.0), (2.0, None, float("nan")), (4.0, None, 1.0)], "a double, b double, c double")
+    got = {(r.col_i, r.col_j): r.r for r in M.corr_upper(df, ["a", "b", "c"]).collect()}
+    assert got["a", "b"] is None and got["b", "c"] is None and math.isnan(got["a", "c"])
+    assert all(r.r is None for r in M.corr_upper(df.limit(0), ["a", "b", "c"]).collect())

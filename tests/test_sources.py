@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from sevscale.sources import comments, staging
+from sevscale.sources import comments, records, staging
 
 TEXTS = [("1", 'says "hi", then\nleaves'), ("2", "NA"), ("3", "null"), ("4", "a\\b, c"), ("5", None)]
 
@@ -59,3 +61,75 @@ def test_staging_uses_the_set_folder(spark):
     assert set_folder is None or root == set_folder
     df = spark.range(10)
     assert staging.stage(df).count() == 10
+
+
+def csv_of(rows, end="\n"):
+    import csv
+    import io
+
+    out = io.StringIO(newline="")
+    csv.writer(out, lineterminator=end).writerows([("id", "comment_text"), *rows])
+    return out.getvalue()
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Files are read in ranges of so many bytes."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(k) for k in keys]
+
+    def use(size):
+        for k, v in zip(keys, (size, 1)):
+            spark.conf.set(k, str(v))
+
+    yield use
+    for k, v in zip(keys, before):
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("size", [7, 16, 61, 250, 4000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_one_file_is_read_in_ranges(spark, tmp_path, small_ranges, size, end):
+    draw = random.Random(size)
+    words = ['"', "\n", '""', ",", "a", "é", "long text ", "\n\n", '"\n"', "NA"]
+    rows = [(str(i), "".join(draw.choices(words, k=draw.randrange(1, 12)))) for i in range(40)]
+    rows += [("x", "\n" * 300 + '"' * 5), ("y", "z" * 500), ("z", "end\n")]
+    (tmp_path / "f.csv").write_bytes(("﻿" + csv_of(rows, end)).encode())
+    small_ranges(size)
+    df = comments.read_comments(spark, str(tmp_path / "f.csv"), comments.TEXT_SCHEMA)
+    assert sorted((r.id, r.comment_text) for r in df.collect()) == sorted(rows)
+    ranges = records.file_lines(spark, str(tmp_path / "f.csv")).select("start").distinct().count()
+    assert ranges >= min(8, 1500 // size)
+
+
+def test_a_range_border_at_every_byte(spark, tmp_path, small_ranges):
+    rows = [("1", 'q"\n"'), ("2", "\n\n"), ("3", "plain"), ("4", 'a,"b"\n')]
+    data = csv_of(rows).encode()
+    (tmp_path / "f.csv").write_bytes(data)
+    for size in range(1, len(data) + 1, 3):
+        small_ranges(size)
+        df = comments.read_comments(spark, str(tmp_path / "f.csv"), comments.TEXT_SCHEMA)
+        assert sorted((r.id, r.comment_text) for r in df.collect()) == rows
+
+
+def test_folder_of_files_with_blank_lines_and_open_quotes(spark, tmp_path, small_ranges):
+    (tmp_path / "c").mkdir()
+    for i in range(3):
+        (tmp_path / "c" / f"{i}.csv").write_text(f'\n\nid,comment_text\n\n{i},"one\ntwo"\n\n')
+    small_ranges(9)
+    got = comments.read_comments(spark, str(tmp_path / "c"), comments.TEXT_SCHEMA)
+    assert sorted((r.id, r.comment_text) for r in got.collect()) == [(str(i), "one\ntwo") for i in range(3)]
+    (tmp_path / "c" / "3.csv").write_text('id,comment_text\n7,"never closed\n')
+    with pytest.raises(Exception, match="never closed"):
+        comments.read_comments(spark, str(tmp_path / "c"), comments.TEXT_SCHEMA).collect()
+
+
+def test_headers_without_or_with_repeated_names(spark, tmp_path):
+    (tmp_path / "f.csv").write_text(",id,comment_text,x,x\n0,a,b,1,2\n")
+    row = comments.read_comments(spark, str(tmp_path / "f.csv"), comments.TEXT_SCHEMA).first()
+    assert (row.id, row.comment_text) == ("a", "b")
+
+
+def test_files_without_rows(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("id,comment_text\n")
+    assert comments.read_comments(spark, str(tmp_path / "f.csv"), comments.TEXT_SCHEMA).collect() == []
