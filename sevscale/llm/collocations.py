@@ -33,7 +33,7 @@ PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 BITS_PER_PAIR, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 30
 CHUNK_BITS = 1 << 18
 COUNT = "decimal(16,0)"  # so that 1000 * a * n fits a decimal of 38 digits
-BATCH_BYTES = 16 << 20  # text looked at in one go; a longer text is a batch of its own
+BATCH_BYTES = 2 << 20  # text looked at in one go, some 40 bytes of memory each; a longer text is a batch of its own
 
 _END, _BLANK, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
 _END[list(PIECE_ENDS)] = True
