@@ -51,7 +51,7 @@ def char_wb_ngrams(spark, sf_dir):
 @query("gram_vocab", over("vocab", "SELECT gram, df FROM vocab"))
 def gram_vocab(spark, sf_dir):
     texts = docs(spark, sf_dir)
-    return V.gram_vocab(V.gram_counts(texts, "id", "text"), V.n_rows(texts))
+    return V.gram_vocab(V.gram_counts(texts, "id", "text", min_df=V.MIN_DF), V.n_rows(texts))
 
 
 @query("gram_idf", over("idf", "SELECT gram, round(idf, 6) AS idf FROM idf"))

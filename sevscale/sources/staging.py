@@ -37,3 +37,10 @@ def stage_at(df: DataFrame, path: str) -> DataFrame:
     """Stage at a given path, in place of what an earlier round left there."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstage(spark: SparkSession, *paths: str) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
