@@ -6,9 +6,10 @@ ever shorter prefixes, so the counts of all phrases come from one aggregation an
 n-gram is exploded.
 
 Most windows of a large corpus are unique and hold no frequent phrase.  A phrase that occurs
-``min_count`` times consists of word pairs that do, so windows end before a pair that is rarer.  The
-frequent pairs are counted by a 64-bit hash and handed to the tasks as a bitmap: a false positive
-in it lets a window run on, which costs a row and changes no count.
+``min_count`` times consists of pairs and triples of words that do, so windows end before one
+that is rarer.  Frequent pairs, then the triples made of them, are counted by a 64-bit hash and
+handed to the tasks as bitmaps: a false positive lets a window run on, which costs a row and
+changes no count.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ MIN_COUNT = 100
 TOP = 2000
 ABSORB = 100  # percent of a phrase's occurrences that lie inside one longer phrase
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-# The bitmap has this many bits for each frequent pair, within these limits (32 kB to 128 MB).
-BITS_PER_PAIR, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 30
+# A bitmap has this many bits for each frequent hash, within these limits (32 kB to 128 MB).
+BITS_PER_HASH, LEAST_BITS, MOST_BITS = 16, 1 << 18, 1 << 30
 CHUNK_BITS = 1 << 18
 COUNT = "decimal(16,0)"  # so that 1000 * a * n fits a decimal of 38 digits
 BATCH_BYTES = 2 << 20  # text looked at in one go, some 40 bytes of memory each; a longer text is a batch of its own
@@ -46,7 +47,7 @@ class BatchWords:
     """The words of a batch of texts, as arrays over all of them.
 
     ``words`` holds them with A-Z lowered, ``lang`` their language; ``follows`` is true for a word
-    that has a neighbour before it in its piece, and ``pairs`` numbers such pairs per language.
+    that has a neighbour before it in its piece, and ``pairs`` holds such a pair's number, per language.
     """
 
     def __init__(self, langs: pa.Array, texts: pa.Array):
@@ -74,7 +75,24 @@ class BatchWords:
         self.follows[1:] = (piece[1:] == piece[:-1]) & (text[1:] == text[:-1])
         numbers = spelled_numbers(letters, at)
         later = np.flatnonzero(self.follows)
-        self.pairs = scramble(numbers[later - 1] * _LEFT + numbers[later] * _RIGHT + salt[code[later]]).view(np.int64)
+        self.pairs = np.zeros(len(starts), np.uint64)
+        self.pairs[later] = scramble(numbers[later - 1] * _LEFT + numbers[later] * _RIGHT + salt[code[later]])
+
+    def joined(self, table: np.ndarray) -> np.ndarray:
+        """Which words make a frequent pair with the word before them."""
+        out = self.follows.copy()
+        out[out] = _held(table, self.pairs[out])
+        return out
+
+    def triples(self, joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The last words of triples made of two frequent pairs, and the triples' numbers."""
+        last = np.flatnonzero(joined[1:] & joined[:-1]) + 1
+        return last, scramble(self.pairs[last - 1] * _RIGHT + self.pairs[last] * _LEFT)
+
+
+def _held(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes % np.uint64(len(table) * 8)
+    return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[BatchWords]:
@@ -93,22 +111,24 @@ def texts_by_lang(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def frequent_pairs(texts: DataFrame, min_count: int) -> DataFrame:
-    """(hash) of word pairs of one language that occur at least ``min_count`` times."""
+def frequent_hashes(texts: DataFrame, min_count: int, pairs: np.ndarray | None = None) -> DataFrame:
+    """(hash) of word pairs that occur at least ``min_count`` times; given those, of triples."""
+    table = None if pairs is None else texts.sparkSession.sparkContext.broadcast(pairs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _batches(batches):
-            pairs, n = np.unique(held.pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], names=["hash", "n"])
+            hashes = held.pairs[held.follows] if table is None else held.triples(held.joined(table.value))[1]
+            hashes, n = np.unique(hashes.view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
     counts = texts.mapInArrow(count, "hash long, n long")
     return counts.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count).select("hash")
 
 
-def pair_bitmap(pairs: DataFrame, n_pairs: int) -> np.ndarray:
+def hash_bitmap(hashes: DataFrame, n_hashes: int) -> np.ndarray:
     """The bits of all given hashes.  Tasks build chunks of it; its size has a fixed limit."""
     bits = LEAST_BITS
-    while bits < min(n_pairs * BITS_PER_PAIR, MOST_BITS):
+    while bits < min(n_hashes * BITS_PER_HASH, MOST_BITS):
         bits *= 2
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +140,7 @@ def pair_bitmap(pairs: DataFrame, n_pairs: int) -> np.ndarray:
             [pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["chunk", "data"])
 
     at = F.pmod(F.col("hash"), F.lit(bits))
-    spread = pairs.select(F.floor(at / CHUNK_BITS).cast("bigint").alias("chunk"), F.pmod(at, F.lit(CHUNK_BITS)).cast("bigint").alias("low"))
+    spread = hashes.select(F.floor(at / CHUNK_BITS).cast("bigint").alias("chunk"), F.pmod(at, F.lit(CHUNK_BITS)).cast("bigint").alias("low"))
     out = np.zeros(bits // 8, np.uint8)
     for row in spread.repartition(min(bits // CHUNK_BITS, 256), "chunk").mapInArrow(chunk, "chunk long, data binary").toLocalIterator():
         start = row["chunk"] * (CHUNK_BITS // 8)
@@ -128,45 +148,51 @@ def pair_bitmap(pairs: DataFrame, n_pairs: int) -> np.ndarray:
     return out
 
 
-def frequent_runs(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
-    """(lang, words, n): pieces cut wherever two neighbours are not a frequent pair.
+def frequent_runs(texts: DataFrame, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
+    """(lang, words, opens, n): pieces cut so that all pairs and triples of a run are frequent.
 
-    Words left alone are counted within their batch; other runs are one row each.
+    Where a triple is rare the next run begins with its middle word, the last of the run before; the
+    first ``opens`` words of a run open windows, so each word does so once.  Words left alone
+    are counted within their batch; other runs are one row each.
     """
-    bits = np.uint64(len(bitmap) * 8)
-    table = texts.sparkSession.sparkContext.broadcast(bitmap)
+    tables = texts.sparkSession.sparkContext.broadcast((pairs, triples))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _batches(batches):
             n = len(held.words)
             if not n:
                 continue
-            place = held.pairs.view(np.uint64) % bits
-            joined = held.follows.copy()
-            joined[held.follows] = (table.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-            starts = np.flatnonzero(~joined)
-            sizes = np.diff(np.append(starts, n))
-            single, longer = starts[sizes == 1], starts[sizes > 1]
-            alone = pa.table({"lang": held.lang.take(pa.array(single)).cast(pa.string()), "word": held.words.take(pa.array(single))})
-            counted = alone.group_by(["lang", "word"]).aggregate([([], "count_all")])
+            joined = held.joined(tables.value[0])
+            last, numbers = held.triples(joined)
+            middle = last[~_held(tables.value[1], numbers)] - 1
+            again = np.zeros(n + 1, bool)  # words that open a run and end the one before
+            again[middle] = True
+            starts = np.flatnonzero(~joined | again[:n])
+            ends = np.append(starts[1:], n)
+            opens = ends - starts
+            sizes = opens + again[ends]
+            alone, longer = sizes == 1, np.flatnonzero(sizes > 1)
+            single = pa.table({"lang": held.lang.take(pa.array(starts[alone])).cast(pa.string()), "word": held.words.take(pa.array(starts[alone]))})
+            counted = single.group_by(["lang", "word"]).aggregate([([], "count_all")])
+            one = np.ones(len(counted), np.int64)
             yield _run_rows(counted["lang"].combine_chunks(), counted["word"].combine_chunks(),
-                            np.arange(len(counted) + 1), counted["count_all"].combine_chunks())
-            within = np.repeat(sizes > 1, sizes)
-            ends = np.concatenate(([0], np.cumsum(sizes[sizes > 1])))
-            yield _run_rows(held.lang.take(pa.array(longer)).cast(pa.string()), held.words.filter(pa.array(within)),
-                            ends, pa.array(np.ones(len(longer), np.int64)))
+                            np.arange(len(counted) + 1), one, counted["count_all"].combine_chunks())
+            edges = np.concatenate(([0], np.cumsum(sizes[longer])))
+            place = np.arange(edges[-1]) + np.repeat(starts[longer] - edges[:-1], sizes[longer])
+            yield _run_rows(held.lang.take(pa.array(starts[longer])).cast(pa.string()), held.words.take(pa.array(place)),
+                            edges, opens[longer], pa.array(np.ones(len(longer), np.int64)))
 
-    return texts.mapInArrow(cut, "lang string, words array<string>, n long")
+    return texts.mapInArrow(cut, "lang string, words array<string>, opens long, n long")
 
 
-def _run_rows(lang: pa.Array, words: pa.Array, ends: np.ndarray, n: pa.Array) -> pa.RecordBatch:
+def _run_rows(lang: pa.Array, words: pa.Array, ends: np.ndarray, opens: np.ndarray, n: pa.Array) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.cast(pa.string()))
-    return pa.RecordBatch.from_arrays([lang, lists, n], names=["lang", "words", "n"])
+    return pa.RecordBatch.from_arrays([lang, lists, pa.array(opens.astype(np.int64)), n], names=["lang", "words", "opens", "n"])
 
 
 def longest_windows(runs: DataFrame, width: int) -> DataFrame:
     """(lang, w1 ... w<width>, n): every word with the words after it, padded by ``''``."""
-    at = runs.select("lang", "words", "n", F.posexplode("words").alias("pos", "w1"))
+    at = runs.select("lang", "words", "opens", "n", F.posexplode("words").alias("pos", "w1")).where(F.col("pos") < F.col("opens"))
     leads = [F.coalesce(F.get("words", F.col("pos") + k), F.lit("")).alias(f"w{k + 1}") for k in range(1, width)]
     columns = [f"w{k}" for k in range(1, width + 1)]
     return at.select("lang", "w1", *leads, "n").groupBy("lang", *columns).agg(F.sum("n").alias("n"))
@@ -242,8 +268,11 @@ def mine_collocations(
     """
     scratch = Scratch(df.sparkSession)
     texts = texts_by_lang(df, text_col, lang_col)
-    pairs = scratch.keep(frequent_pairs(texts, min_count), "frequent_pairs")
-    runs = frequent_runs(texts, pair_bitmap(pairs, pairs.count()))
+    bitmaps: list[np.ndarray] = []
+    for name in ("frequent_pairs", "frequent_triples"):
+        hashes = scratch.keep(frequent_hashes(texts, min_count, *bitmaps), name)
+        bitmaps.append(hash_bitmap(hashes, hashes.count()))
+    runs = frequent_runs(texts, *bitmaps)
     counts = scratch.keep(phrase_counts(longest_windows(runs, max_words), max_words, min_count), "phrase_counts")
     scored = scratch.keep(score_phrases(counts), "scored_phrases")
     # a limit per language is taken in every task before rows of one language come together

@@ -196,12 +196,12 @@ def test_phrases_equal_brute_force(spark, phrase_rows, min_count, width, top):
     assert rows == expected and len(rows) > 10
 
 
-def test_phrases_do_not_depend_on_the_bitmap(spark, phrase_rows, monkeypatch):
-    """Windows that run on past rare pairs change no row."""
-    everything = lambda pairs, n: np.full(1 << 15, 255, np.uint8)
+def test_phrases_do_not_depend_on_the_bitmaps(spark, phrase_rows, monkeypatch):
+    """Windows that run on past rare pairs and triples change no row."""
+    everything = lambda hashes, n: np.full(1 << 15, 255, np.uint8)
     few = phrase_rows[:40]
     expected = brute_phrases(few, 5, 3)
-    monkeypatch.setattr(collocations, "pair_bitmap", everything)
+    monkeypatch.setattr(collocations, "hash_bitmap", everything)
     monkeypatch.setattr(collocations, "BATCH_BYTES", 50)  # and texts of their own batches
     got = mine_collocations(phrase_table(spark, few).repartition(3), min_count=3)
     assert sorted(tuple(r) for r in got.collect()) == expected
