@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sevscale.functions.labels import SIX_FLAGS, any_label, present
@@ -88,13 +88,33 @@ def count_where(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
     return df.agg(*[F.count_if(c).cast("bigint").alias(n) for n, c in conditions.items()])
 
 
-def stage_counts(stages: Mapping[str, DataFrame]) -> DataFrame:
-    """Row count after each named stage."""
-    counts = [
-        df.agg(F.count("*").cast("bigint").alias("n")).select(F.lit(name).alias("stage"), "n")
-        for name, df in stages.items()
-    ]
-    out = counts[0]
-    for count in counts[1:]:
-        out = out.unionByName(count)
-    return out
+class StageCounts:
+    """Rows after each stage, known once an action has run on the last one."""
+
+    def __init__(self, stages: Mapping[str, Observation]):
+        self._stages = stages
+
+    def rows(self) -> list[tuple[str, int]]:
+        return [(name, seen.get["n"]) for name, seen in self._stages.items()]
+
+
+def counted_stages(
+    df: DataFrame, steps: Mapping[str, Callable[[DataFrame], DataFrame]]
+) -> tuple[DataFrame, StageCounts]:
+    """Apply named steps one after the other, counting rows on the way.
+
+    The counts come from the action that does the work, so nothing is read for their sake.  A task
+    that is run again after its executor was lost in a later stage may count its rows again.
+    """
+    seen = {}
+    for name, step in steps.items():
+        seen[name] = Observation()
+        df = step(df).observe(seen[name], F.count(F.lit(1)).alias("n"))
+    return df, StageCounts(seen)
+
+
+def stage_counts(df: DataFrame, steps: Mapping[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(stage, n): row counts after each named step, from one run through all of them."""
+    last, counts = counted_stages(df, steps)
+    last.select(F.lit(1)).write.format("noop").mode("overwrite").save()
+    return df.sparkSession.createDataFrame(counts.rows(), "stage string, n long")

@@ -120,7 +120,8 @@ def count_where(spark, sf_dir):
     UNION ALL SELECT 'positive', count(*) FROM flags WHERE toxic <> -1 AND toxic
       + severe_toxic + obscene + threat + insult + identity_hate > 0"""))
 def stage_counts(spark, sf_dir):
-    read = frames.flag_labels(spark, sf_dir)
-    scored = ops.drop_unscored(read)
-    positive = ops.label_flags(scored).where("toxic_behaviour")
-    return profile.stage_counts({"read": read, "scored": scored, "positive": positive})
+    return profile.stage_counts(frames.flag_labels(spark, sf_dir), {
+        "read": lambda df: df,
+        "scored": ops.drop_unscored,
+        "positive": lambda df: ops.label_flags(df).where("toxic_behaviour"),
+    })

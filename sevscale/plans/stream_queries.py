@@ -12,7 +12,7 @@ from sevscale.plans.metric_queries import near, r6
 from sevscale.plans.text_queries import cleaned
 from sevscale.sources.staging import stage, staged_path
 from sevscale.sources.tables import read_table
-from sevscale.streaming.metrics import stream_metric_mean, windowed_metric_mean
+from sevscale.streaming.metrics import stream_metric_mean, stream_running_mean, windowed_metric_mean
 from sevscale.streaming.scoring import clean_stream, write_scores
 
 add_texts("clean_turn_", f"""
@@ -81,6 +81,22 @@ def windowed_means(spark, sf_dir):
     )
 
 
+@query("stream_running_mean", """
+    SELECT user_id % 3 AS run, event_type AS metric, event_id AS step, round(1e-9 + avg(value) OVER (
+      PARTITION BY user_id % 3, event_type ORDER BY ts, event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_mean FROM events""")
+def running_means(spark, sf_dir):
+    log = arriving(spark, sf_dir, "events").select(
+        (F.col("user_id") % 3).alias("run"), F.col("event_type").alias("metric"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("step"), "value")
+    out = staged_path(spark, "stream_running_mean")
+    finished(
+        stream_running_mean(log, "0 seconds").writeStream.outputMode("append").format("parquet").option("path", out)
+        .option("checkpointLocation", staged_path(spark, "state")).trigger(availableNow=True).start()
+    )
+    return spark.read.parquet(out).select("run", "metric", "step", *near("running_mean"))
+
+
 @query("stream_clean_text", f"SELECT doc_id AS id, {cleaned('text')} AS text FROM documents")
 def clean_texts(spark, sf_dir):
     out = staged_path(spark, "stream_clean_text")

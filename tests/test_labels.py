@@ -119,3 +119,15 @@ def test_parts_are_balanced_on_their_own(spark):
     assert out.where("y = 0 AND id < 1000").count() == 6
     assert out.where("y = 0 AND id >= 1000").count() == 3
     assert out.where("y >= 1").count() == 6
+
+
+def test_stage_counts_come_from_one_scan(spark, small):
+    from sevscale.operators import profile
+
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    last, counts = profile.counted_stages(labels, {
+        "all": lambda df: df, "toxic": lambda df: df.where("toxic = 1"), "none": lambda df: df.where("toxic > 1")})
+    assert last._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    assert last.collect() == []
+    rows = labels.collect()
+    assert counts.rows() == [("all", len(rows)), ("toxic", sum(r.toxic == 1 for r in rows)), ("none", 0)]
