@@ -17,6 +17,7 @@ from sevscale.functions.text import words
 
 LO, HI = 4, 6
 MIN_DF, MAX_DF = 3, 0.5
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 26  # of hashed grams: 8 kB to 8 MB as bits
 
 # Ids that stand for no word.
 PAD, START, END, UNKNOWN, FIRST_WORD = 0, 1, 2, 3, 4
@@ -28,13 +29,51 @@ def by_id(df: DataFrame, id_col: str) -> DataFrame:
     return df.repartition(parts, id_col)
 
 
+def _bucket(gram: Column, buckets: int) -> Column:
+    return F.xxhash64(gram).bitwiseAND(buckets - 1)
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for a corpus: about one per byte of its plan's size, a power of two in fixed limits."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(LEAST_BUCKETS, min(MOST_BUCKETS, 1 << size.bit_length()))
+
+
+def frequent_buckets(
+    df: DataFrame, text_col: str, min_df: int, buckets: int, lo: int = LO, hi: int = HI
+) -> Column:
+    """A bit per bucket of hashed grams: 1 where the bucket's grams occur ``min_df`` times or more.
+
+    Occurrences are counted where the texts lie, by number and not by gram.  A gram in
+    ``min_df`` texts always falls in a bucket marked 1, so leaving out the others loses none;
+    several rare grams that share a bucket only let each other through.  The bits come
+    together as one array of ``buckets / 64`` numbers, a fixed size.
+    """
+    per_word = df.select(
+        F.lit(0).alias("id"), F.lit(1).alias("n"),
+        F.explode(F.array_distinct(words(F.col(text_col)))).alias("word"),
+    )
+    held = (
+        _gram_rows(per_word, lo, hi).groupBy(_bucket(F.col("gram"), buckets).alias("bucket"))
+        .agg(F.count("*").alias("n")).where(F.col("n") >= min_df)
+    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bucket").bitwiseAND(63).cast("int"))
+    cells = held.groupBy(F.shiftright("bucket", 6).alias("cell")).agg(F.bit_or(bit).alias("bits"))
+    dense = df.sparkSession.range(buckets // 64).join(cells, F.col("id") == F.col("cell"), "left")
+    cell = F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    return dense.agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["bits"])).scalar()
+
+
 def gram_counts(
-    df: DataFrame, id_col: str, text_col: str, lo: int = LO, hi: int = HI
+    df: DataFrame, id_col: str, text_col: str, lo: int = LO, hi: int = HI, min_df: int = 1,
+    buckets: int | None = None,
 ) -> DataFrame:
     """(id, gram, tf): word-bounded character n-grams and their counts per text.
 
     ``id_col`` must identify texts.  Words repeat within a text, so they are counted first
-    and each distinct word is cut into grams once.
+    and each distinct word is cut into grams once.  With ``min_df``, grams that cannot be in
+    so many texts are left out where they arise, before they are counted or moved; some
+    rarer ones stay, so document frequencies are still to be looked at.
     """
     placed = by_id(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
     per_word = (
@@ -42,7 +81,14 @@ def gram_counts(
         .groupBy("id", "word")
         .agg(F.count("*").alias("n"))
     )
-    return _gram_rows(per_word, lo, hi).groupBy("id", "gram").agg(F.sum("n").alias("tf"))
+    rows = _gram_rows(per_word, lo, hi)
+    if min_df > 1:
+        buckets = buckets or bucket_count(df)
+        bits = frequent_buckets(df, text_col, min_df, buckets, lo, hi)
+        at = _bucket(F.col("gram"), buckets)
+        cell = F.get(bits, F.shiftright(at, 6).cast("int"))
+        rows = rows.where(F.getbit(cell, at.bitwiseAND(63).cast("int")) == 1)
+    return rows.groupBy("id", "gram").agg(F.sum("n").alias("tf"))
 
 
 def _gram_rows(per_word: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -89,7 +135,8 @@ def fit_idf(
 ) -> DataFrame:
     """The text model of a corpus: (gram, df, idf)."""
     total = n_rows(df)
-    return gram_idf(gram_vocab(gram_counts(df, id_col, text_col), total, min_df, max_df), total)
+    counts = gram_counts(df, id_col, text_col, min_df=min_df)
+    return gram_idf(gram_vocab(counts, total, min_df, max_df), total)
 
 
 def tfidf_weights(counts: DataFrame, model: DataFrame) -> DataFrame:

@@ -99,3 +99,25 @@ def test_head(spark):
     assert V.head_score(df, "v", w, 0.1).first().score == pytest.approx(s)
     silu = V.head_score(df, "v", w, 0.1, "silu").first().score
     assert silu == pytest.approx(s / (1 + math.exp(-s)))
+
+
+def test_rare_grams_leave_before_they_are_counted(spark):
+    texts = [f"common words here {i}xq{i * 7919}" for i in range(30)] + ["once only", "", "   "]
+    df = frame(spark, texts)
+    every = V.gram_counts(df, "id", "text")
+    kept = V.gram_counts(df, "id", "text", min_df=3)
+    n = V.n_rows(df)
+    vocab = lambda counts: sorted(tuple(r) for r in V.gram_vocab(counts, n, 3, 0.95).collect())
+    assert vocab(kept) == vocab(every) and vocab(kept)
+    assert kept.select("gram").distinct().count() < every.select("gram").distinct().count() / 2
+
+
+def test_grams_that_share_a_bucket(spark):
+    """With 64 buckets for all grams nearly every rare one stays; the vocabulary is the same."""
+    texts = [f"common words here {i}xq{i * 7919}" for i in range(30)]
+    df = frame(spark, texts)
+    n = V.n_rows(df)
+    got, want = (sorted(tuple(r) for r in V.gram_vocab(
+        V.gram_counts(df, "id", "text", min_df=3, buckets=b), n, 3, 0.95).collect()) for b in (64, 1 << 16))
+    assert got == want and got
+    assert 64 <= V.LEAST_BUCKETS <= V.bucket_count(df) <= V.MOST_BUCKETS
