@@ -38,8 +38,12 @@ def subtype_only_combos(df: DataFrame, flags: Sequence[str] = SIX_FLAGS) -> Data
 
 
 def duplicate_count(df: DataFrame, col: str) -> DataFrame:
-    """Rows beyond the first of each value; missing values equal each other."""
-    per_value = df.groupBy(col).agg(F.count("*").alias("n"))
+    """Rows beyond the first of each value; missing values equal each other.
+
+    Texts stay where they are: their SHA-256 is counted instead.
+    """
+    value = F.unhex(F.sha2(col, 256)) if dict(df.dtypes)[col] == "string" else F.col(col)
+    per_value = df.groupBy(value.alias("value")).agg(F.count("*").alias("n"))
     return per_value.agg(
         F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicates")
     )

@@ -144,15 +144,27 @@ def stratum_keys(spark, sf_dir):
     return out
 
 
-@query("stack_corpora", over("summed offences", """
+def rate_flags(spark, sf_dir):
+    """The fractional scores as flags, for a second corpus in the layout of flags."""
+    named = {"toxicity": "toxic", "severe_toxicity": "severe_toxic", "obscene": "obscene", "threat": "threat",
+             "insult": "insult", "identity_attack": "identity_hate"}
+    return frames.rates(spark, sf_dir).select(
+        "id", "comment_text", *[(F.col(c) >= 0.5).cast("int").alias(n) for c, n in named.items()])
+
+
+@query("stack_corpora", over("summed rates offences", """
+    WITH more AS (
+      SELECT id, comment_text, (toxicity >= 0.5)::INT + 2 * (severe_toxicity >= 0.5)::INT + (obscene >= 0.5)::INT
+        + (threat >= 0.5)::INT + coalesce((insult >= 0.5)::INT, 0) + (identity_attack >= 0.5)::INT AS y FROM rates)
     SELECT 'flags' AS source, id, comment_text AS text,
       round(y / (SELECT max(y) FROM summed)::DOUBLE, 6) AS y FROM summed
+    UNION ALL SELECT 'more_flags', id, comment_text, round(y / (SELECT max(y) FROM more)::DOUBLE, 6) FROM more
     UNION ALL SELECT 'offences', id, txt, round((offensiveness_score - lo) / (hi - lo), 6)
     FROM offences,
       (SELECT min(offensiveness_score) AS lo, max(offensiveness_score) AS hi FROM offences)"""))
 def stack_corpora(spark, sf_dir):
     parts = ops.prepare_regression(
-        flags=rated(spark, sf_dir), offences=frames.offences(spark, sf_dir)
+        flags=rated(spark, sf_dir), more_flags=rate_flags(spark, sf_dir), offences=frames.offences(spark, sf_dir)
     )
     return ops.stack_corpora(parts).select("source", "id", "text", F.round("y", 6).alias("y"))
 
