@@ -44,18 +44,16 @@ def frequent_buckets(
 ) -> Column:
     """A bit per bucket of hashed grams: 1 where the bucket's grams occur ``min_df`` times or more.
 
-    Occurrences are counted where the texts lie, by number and not by gram.  A gram in
+    Words are counted first, then the grams of different words add up by bucket.  A gram in
     ``min_df`` texts always falls in a bucket marked 1, so leaving out the others loses none;
     several rare grams that share a bucket only let each other through.  The bits come
     together as one array of ``buckets / 64`` numbers, a fixed size.
     """
-    per_word = df.select(
-        F.lit(0).alias("id"), F.lit(1).alias("n"),
-        F.explode(F.array_distinct(words(F.col(text_col)))).alias("word"),
-    )
+    per_word = df.select(F.explode(F.array_distinct(words(F.col(text_col)))).alias("word")).groupBy("word").agg(
+        F.count("*").alias("n")).select(F.lit(0).alias("id"), "n", "word")
     held = (
         _gram_rows(per_word, lo, hi).groupBy(_bucket(F.col("gram"), buckets).alias("bucket"))
-        .agg(F.count("*").alias("n")).where(F.col("n") >= min_df)
+        .agg(F.sum("n").alias("n")).where(F.col("n") >= min_df)
     )
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bucket").bitwiseAND(63).cast("int"))
     cells = held.groupBy(F.shiftright("bucket", 6).alias("cell")).agg(F.bit_or(bit).alias("bits"))
@@ -84,7 +82,7 @@ def gram_counts(
     rows = _gram_rows(per_word, lo, hi)
     if min_df > 1:
         buckets = buckets or bucket_count(df)
-        bits = frequent_buckets(df, text_col, min_df, buckets, lo, hi)
+        bits = frequent_buckets(placed, "text", min_df, buckets, lo, hi)  # the texts are moved once for both
         at = _bucket(F.col("gram"), buckets)
         cell = F.get(bits, F.shiftright(at, 6).cast("int"))
         rows = rows.where(F.getbit(cell, at.bitwiseAND(63).cast("int")) == 1)
@@ -131,11 +129,15 @@ def n_rows(df: DataFrame) -> Column:
 
 
 def fit_idf(
-    df: DataFrame, id_col: str, text_col: str, min_df: int = MIN_DF, max_df: float = MAX_DF
+    df: DataFrame, id_col: str, text_col: str, min_df: int = MIN_DF, max_df: float = MAX_DF, prune: bool = False,
 ) -> DataFrame:
-    """The text model of a corpus: (gram, df, idf)."""
+    """The text model of a corpus: (gram, df, idf).
+
+    ``prune`` leaves out rare grams where they arise, at the price of a pass over the words.  It
+    pays where most grams are rare, as with names, addresses and typing errors.
+    """
     total = n_rows(df)
-    counts = gram_counts(df, id_col, text_col, min_df=min_df)
+    counts = gram_counts(df, id_col, text_col, min_df=min_df if prune else 1)
     return gram_idf(gram_vocab(counts, total, min_df, max_df), total)
 
 

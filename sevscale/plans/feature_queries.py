@@ -50,6 +50,12 @@ def char_wb_ngrams(spark, sf_dir):
 
 @query("gram_vocab", over("vocab", "SELECT gram, df FROM vocab"))
 def gram_vocab(spark, sf_dir):
+    texts = docs(spark, sf_dir)
+    return V.gram_vocab(V.gram_counts(texts, "id", "text"), V.n_rows(texts))
+
+
+@query("gram_vocab_pruned", over("vocab", "SELECT gram, df FROM vocab"))
+def gram_vocab_pruned(spark, sf_dir):
     texts = docs(spark, sf_dir)
     return V.gram_vocab(V.gram_counts(texts, "id", "text", min_df=V.MIN_DF), V.n_rows(texts))
 
