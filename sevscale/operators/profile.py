@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sevscale.functions.labels import SIX_FLAGS, any_label, present
-from sevscale.operators.ranking import exact_quantiles
+from sevscale.operators.ranking import bracketed_quantiles
 
 
 def _shares(df: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,20 +49,41 @@ def duplicate_count(df: DataFrame, col: str) -> DataFrame:
     )
 
 
+FACTS = "column string, count long, mean double, std double, min double, max double, q25 double, q50 double, q75 double"
+QUARTILES = (0.25, 0.5, 0.75)
+SKETCH_ACCURACY = 10_000
+SKETCH_MARGIN = 5 / SKETCH_ACCURACY  # on either side; wider than the sketch errs
+
+
+def describe_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, count, mean, std, min, max, q25, q50, q75) of numeric columns, one row each.
+
+    Two scans serve all columns: the first takes the plain facts and, by a mergeable sketch, a
+    narrow bracket around each quartile; the second counts below and inside the brackets, and
+    only what is inside is put in order.  Quartiles are exact.  Missing values and NaN are
+    skipped; a column without values has count 0 and nulls.
+    """
+    values = df.select(*[present(c).alias(c) for c in cols])
+    sides = [min(1.0, max(0.0, p + d)) for p in QUARTILES for d in (-SKETCH_MARGIN, SKETCH_MARGIN)]
+    facts = values.agg(*[
+        F.struct(
+            F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+            F.min(c).alias("min"), F.max(c).alias("max"),
+            F.percentile_approx(c, sides, SKETCH_ACCURACY).alias("sides"),
+        ).alias(f"f{i}")
+        for i, c in enumerate(cols)
+    ]).first()
+    brackets = {
+        c: list(zip(f.sides[::2], f.sides[1::2])) if f.sides else [] for c, f in zip(cols, facts)
+    }
+    quartiles = bracketed_quantiles(values, QUARTILES, brackets)
+    rows = [(c, f["count"], f["mean"], f["std"], f["min"], f["max"], *quartiles[c]) for c, f in zip(cols, facts)]
+    return df.sparkSession.createDataFrame(rows, FACTS)
+
+
 def describe_col(df: DataFrame, col: str) -> DataFrame:
     """count, mean, sample deviation, min, exact quartiles, max of a numeric column."""
-    values = df.select(present(col).alias("v"))
-    facts = values.agg(
-        F.count("v").alias("count"),
-        F.avg("v").alias("mean"),
-        F.stddev_samp("v").alias("std"),
-        F.min("v").alias("min"),
-        F.max("v").alias("max"),
-    )
-    quartiles = exact_quantiles(values, "v", (0.25, 0.5, 0.75))
-    return facts.withColumns({
-        name: quartiles.select(f"q{i}").scalar() for i, name in enumerate(("q25", "q50", "q75"))
-    })
+    return describe_columns(df, [col]).drop("column")
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:

@@ -7,12 +7,13 @@ its own.  Only the bucket sizes, at most a few thousand rows, are ever brought t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sevscale.sources.staging import stage
+from sevscale.sources.staging import stage, stage_at, staged_path, unstage
 
 HEX_DIGITS = 3  # 4096 buckets of a hashed order
 
@@ -172,38 +173,115 @@ def ordinal_rank(df: DataFrame, score: str, id_col: str, out: str = "rank") -> D
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
     """One row of linearly interpolated quantiles, columns q0, q1, ...; missing skipped.
 
-    Equal values are counted before anything moves; the distinct values are then put in
-    range order, and only the two values around each wanted position are kept.
+    Without a sketch all distinct values are put in order.
     """
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v"))
-        .agg(F.count("*").alias("n"))
-    )
-    staged = range_positions(counted, [F.col("v").asc()], "exact_quantiles")
-    sizes = before_part(staged, F.sum("n"))
-    upto = Window.partitionBy("__part").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    last = staged.agg(F.sum("n") - 1).scalar()
-    spans = staged.join(F.broadcast(sizes), "__part").select(
-        "v", (F.col(_BEFORE) + F.sum("n").over(upto)).alias("hi"), "n"
-    )
-    picked = spans.select(
-        "v",
-        F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), side(last * p).cast("bigint").alias("at"),
-                     F.lit(k).alias("k"))
-            for i, p in enumerate(probs)
-            for k, side in enumerate((F.floor, F.ceil))
-        ])).alias("t"),
-        "hi", "n",
-    ).where((F.col("t.at") < F.col("hi")) & (F.col("t.at") >= F.col("hi") - F.col("n")))
-    columns = []
-    for i, p in enumerate(probs):
-        low, high = (
-            F.max(F.when((F.col("t.i") == i) & (F.col("t.k") == k), F.col("v")))
-            for k in (0, 1)
+    values = df.select(F.col(value).cast("double").alias("v"))
+    got = bracketed_quantiles(values, probs, {"v": [(float("-inf"), float("inf"))]})["v"]
+    schema = ", ".join(f"q{i} double" for i in range(len(probs)))
+    return df.sparkSession.createDataFrame([tuple(got)], schema)
+
+
+def _slot(value: Column, brackets: Sequence[tuple[float, float]]) -> Column:
+    """Odd inside bracket ``slot // 2``, even in the gap before it; numbers rise with the value."""
+    slot = F.lit(0)
+    for low, high in brackets:
+        slot = slot + (value >= low).cast("int") + (value > high).cast("int")
+    return slot
+
+
+def _merged(brackets: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(brackets):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], high))
+        else:
+            out.append((low, high))
+    return out
+
+
+def _closed_gap(brackets: Sequence[tuple[float, float]], slot: int) -> list[tuple[float, float]]:
+    """The brackets with the gap ``slot`` taken in, together with its neighbours."""
+    at = slot // 2
+    low = brackets[at - 1][0] if at > 0 else float("-inf")
+    high = brackets[at][1] if at < len(brackets) else float("inf")
+    return _merged([*brackets, (low, high)])
+
+
+def bracketed_quantiles(
+    df: DataFrame, probs: Sequence[float], sketches: Mapping[str, Sequence[tuple[float, float]]]
+) -> dict[str, list[float | None]]:
+    """Exact linearly interpolated quantiles of several columns of doubles, from brackets.
+
+    ``sketches`` holds per column the stretches of values where its quantiles are expected, say
+    from a quantile sketch.  One scan serves all columns: values inside a bracket are counted by
+    value, the others by the gap they lie in.  Only brackets that hold a wanted position are then
+    ordered.  Brackets need not be right: where a position turns out to lie in a gap, the gap is
+    taken in and the scan repeated, so the result is exact whatever the brackets.  Null values
+    are skipped; a column without values has null quantiles.  The driver sees the sizes of
+    brackets and gaps, and two values per quantile.
+    """
+    names = list(sketches)
+    brackets = [_merged(sketches[c]) for c in names]
+    path = staged_path(df.sparkSession, "bracketed")
+    while True:
+        cells = []
+        for i, c in enumerate(names):
+            slot = _slot(F.col(c), brackets[i])
+            kept = F.when(slot % 2 == 1, F.col(c))
+            cells.append(F.when(F.col(c).isNotNull(), F.struct(
+                F.lit(i).alias("c"), slot.alias("slot"), kept.alias("v"))))
+        counted = stage_at(
+            df.select(F.explode(F.array(*cells)).alias("x")).where("x IS NOT NULL")
+            .groupBy("x.c", "x.slot", "x.v").agg(F.count("*").alias("n")),
+            path,
         )
-        share = last * p - F.floor(last * p)
-        columns.append((low + (high - low) * share).cast("double").alias(f"q{i}"))
-    return picked.agg(*columns)
+        sizes = {(r["c"], r["slot"]): r["n"] for r in
+                 counted.groupBy("c", "slot").agg(F.sum("n").alias("n")).collect()}
+        wanted, missed = [], False  # (column, quantile, side, slot, place in the slot)
+        for i in range(len(names)):
+            total = sum(n for (c, _), n in sizes.items() if c == i)
+            gaps = set()
+            for j, p in enumerate(probs if total else ()):
+                for k, at in enumerate((math.floor((total - 1) * p), math.ceil((total - 1) * p))):
+                    slot = 0
+                    while at >= sizes.get((i, slot), 0):
+                        at -= sizes.get((i, slot), 0)
+                        slot += 1
+                    wanted.append((i, j, k, slot, at))
+                    gaps |= {slot} if slot % 2 == 0 else set()
+            if gaps:
+                missed = True
+                closed = [b for slot in gaps for b in _closed_gap(brackets[i], slot)]
+                brackets[i] = _merged(closed)
+        if not missed:
+            break
+    if not wanted:
+        unstage(df.sparkSession, path)
+        return {c: [None] * len(probs) for c in names}
+
+    held = sorted({(i, slot) for i, _, _, slot, _ in wanted})
+    starts, upto = {}, 0  # of the held slots, one after the other
+    for key in held:
+        starts[key], upto = upto, upto + sizes[key]
+    inside = counted.where(F.struct("c", "slot").isin(
+        [F.struct(F.lit(i).alias("c"), F.lit(slot).alias("slot")) for i, slot in held]))
+    staged = range_positions(inside, [F.col("c"), F.col("slot"), F.col("v")], "bracket_order")
+    by_part = Window.partitionBy("__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    spans = staged.join(F.broadcast(before_part(staged, F.sum("n"))), "__part").select(
+        "v", "n", (F.col(_BEFORE) + F.sum("n").over(by_part)).alias("hi"))
+    places = sorted({starts[i, slot] + at for i, _, _, slot, at in wanted})
+    here = F.filter(
+        F.array(*[F.lit(at).cast("bigint") for at in places]),
+        lambda at: (at < F.col("hi")) & (at >= F.col("hi") - F.col("n")))
+    found = {r["at"]: r["v"] for r in spans.select("v", F.explode(here).alias("at")).collect()}
+    unstage(df.sparkSession, path)
+
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in names}
+    for i, j, _, slot, at in (w for w in wanted if w[2] == 0):
+        total = sum(n for (c, _), n in sizes.items() if c == i)
+        share = (total - 1) * probs[j] - math.floor((total - 1) * probs[j])
+        low = found[starts[i, slot] + at]
+        high_slot, high_at = next(w[3:] for w in wanted if w[:3] == (i, j, 1))
+        high = found[starts[i, high_slot] + high_at]
+        out[names[i]][j] = low if low == high or not share else low + (high - low) * share
+    return out

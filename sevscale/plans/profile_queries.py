@@ -81,6 +81,18 @@ def describe_offence(spark, sf_dir):
     return described(frames.offences(spark, sf_dir), "offensiveness_score")
 
 
+RATED = ["toxicity", "severe_toxicity", "insult"]
+
+
+@query("describe_ratings", over("rates", " UNION ALL ".join(
+    f"SELECT '{c}' AS column, * FROM ({DESCRIBE} (SELECT {c} AS y FROM rates))" for c in RATED)))
+def describe_ratings(spark, sf_dir):
+    facts = profile.describe_columns(frames.rates(spark, sf_dir), RATED)
+    return facts.select("column", "count", "min", "max", *[
+        F.round(c, 6).alias(c) for c in ("mean", "std", "q25", "q50", "q75")
+    ])
+
+
 @query("distinct_values", over("offences", "SELECT DISTINCT offensiveness_score FROM offences"))
 def distinct_values(spark, sf_dir):
     return profile.distinct_values(frames.offences(spark, sf_dir), "offensiveness_score")

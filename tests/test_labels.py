@@ -104,6 +104,24 @@ def test_describe(spark):
         assert got[name] == pytest.approx(value)
 
 
+def test_describe_many_columns_in_two_scans(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30_000, 3))
+    x[:, 1] = x[:, 1].round(1)
+    df = spark.createDataFrame(
+        [(*map(float, r), None) for r in x], "a double, b double, c double, none double").repartition(7)
+    got = {r.column: r for r in profile.describe_columns(df, df.columns).collect()}
+    for i, c in enumerate("abc"):
+        assert [got[c].q25, got[c].q50, got[c].q75] == pytest.approx(
+            np.quantile(x[:, i], (0.25, 0.5, 0.75)).tolist())
+        assert got[c].std == pytest.approx(x[:, i].std(ddof=1))
+    assert (got["none"]["count"], got["none"].q50, got["none"].max) == (0, None, None)
+    empty = profile.describe_columns(df.limit(0), ["a"]).first()
+    assert (empty["count"], empty.mean, empty.q25) == (0, None, None)
+
+
 def test_class_share_counts_missing_in_the_whole(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,)], "y int")
     assert {r.y: r.share for r in profile.class_share(df, "y").collect()} == {1: 0.5, 2: 0.25}

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sevscale.operators import ranking, splits
-from sevscale.operators.ranking import exact_quantiles, hashed_rank, id_rank, ordinal_rank
+from sevscale.operators.ranking import bracketed_quantiles, exact_quantiles, hashed_rank, id_rank, ordinal_rank
 
 
 def ids(spark, n, step=1, start=0):
@@ -153,3 +153,29 @@ def test_quantiles_equal_numpy(spark):
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
     got = exact_quantiles(df, "v", probs).first()
     assert list(got) == pytest.approx(np.quantile(x, probs).tolist())
+
+
+@pytest.mark.parametrize("brackets", [
+    [], [(5.0, 6.0)], [(0.2, 0.3)], [(-9.0, -8.0), (0.25, 0.25)], [(0.0, 0.1), (0.05, 0.4), (0.6, 0.7)],
+])
+def test_wrong_brackets_change_no_quantile(spark, brackets):
+    rng = np.random.default_rng(5)
+    columns = {"a": rng.normal(size=600).round(2), "b": np.repeat([0.25, 0.5], 300), "c": np.full(600, np.inf)}
+    rows = [tuple(float(columns[c][i]) for c in "abc") + (None,) for i in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(5)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = bracketed_quantiles(df, probs, dict.fromkeys("abcd", brackets))
+    for c in "abc":
+        assert got[c] == pytest.approx(np.quantile(columns[c], probs, method="linear").tolist()
+                                       if c != "c" else [np.inf] * 5)
+    assert got["d"] == [None] * 5
+
+
+def test_strata_follow_each_other_over_ranges(spark):
+    df = ids(spark, 900).withColumn("c", (F.col("id") * 7) % 211)
+    rows = splits.stratified_kfold(df, 4, "c").collect()
+    got = [[0] * 211 for _ in range(4)]
+    first = {c: i for i, c in enumerate(dict.fromkeys(r.c for r in sorted(rows)))}
+    for r in rows:
+        got[r.fold][first[r.c]] += 1
+    assert got == stratified_counts(np.array([first[r.c] for r in sorted(rows)]), 4)
