@@ -175,13 +175,23 @@ def fit_rules(
     one = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(
         F.max("quality").alias("__quality")
     )
-    rows = (
+    labelled = (
         statistics.where(~F.col("base_failed")).join(one, F.col("doc_id") == F.col("__id"))
         .select(F.xxhash64("doc_id").alias("__draw"), "doc_id", "__quality", *names)
-        .orderBy("__draw", "doc_id", *names).limit(sample_rows).collect()
     )
-    if not rows:
+    total = labelled.count()
+    if not total:
         return []
+    # Every task would offer its first rows to the driver, so rows far beyond the cut stay where they are.
+    share = 1.0
+    if total > sample_rows:
+        share = 1.1 * (sample_rows + 100) / total
+    while True:
+        offered = labelled if share >= 1 else labelled.where(F.col("__draw") <= int(-(1 << 63) + share * ((1 << 64) - 1)))
+        rows = offered.orderBy("__draw", "doc_id", *names).limit(sample_rows).collect()
+        if share >= 1 or len(rows) == min(sample_rows, total):
+            break
+        share *= 2
     x = np.array([[float(r[n]) for n in names] for r in rows])
     return learn_rules(x, np.array([r["__quality"] == 0 for r in rows]), names)
 

@@ -20,7 +20,7 @@ from sevscale.llm.mixing import curriculum, mixed_rows
 from sevscale.llm.packing import pack, plan_sequences
 from sevscale.llm.queries import QUERIES, VOCABULARY
 from sevscale.llm.substring import deduplicated_words, settled
-from sevscale.llm.urls import url_verdicts
+from sevscale.llm.urls import held_out_verdicts, url_verdicts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = "word " * 30_000
@@ -367,6 +367,47 @@ def test_urls(spark):
     assert url_verdicts(df.limit(0)).collect() == []
 
 
+def test_urls_learn_without_seeing_their_own_site(spark):
+    """Blocked sites carry digits and parameters, under the same suffixes as allowed ones."""
+    rows, rules = [], []
+    for i in range(60):
+        for n in range(20):
+            bad = i % 2 == 0
+            path = f"/{n}{i}99?a={n}&b={i}&c=1" if bad else "/" + "abcdefghij"[n % 10] * (3 + n % 5)
+            host = f"site{chr(97 + i % 26)}{chr(97 + i // 26)}.{('com', 'info')[i % 3 == 0]}"
+            rows.append((i * 20 + n, f"http://{host}{path}"))
+        if i < 50:
+            rules.append(("block" if bad else "allow", host + "/"))
+    df = spark.createDataFrame(rows + [(None, None), (None, None)], "page_id long, url string").repartition(5)
+    got = url_verdicts(df, rules=rules).collect()
+    free = [r for r in got if r["page_id"] is not None and r["page_id"] >= 1000]
+    assert len(got) == 1202 and len(free) == 200 and all(r["rule"] is None for r in free)
+    assert sum((r["verdict"] == "block") == (r["page_id"] // 20 % 2 == 0) for r in free) >= 190
+    held = held_out_verdicts(df, rules=rules).collect()
+    assert held and sum((r["block_score"] > 0.5) == (r["verdict"] == "block") for r in held) >= 0.9 * len(held)
+    again = url_verdicts(df.repartition(3), rules=rules).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    one_sided = url_verdicts(df, rules=[r for r in rules if r[0] == "block"]).collect()
+    assert {r["verdict"] for r in one_sided if r["rule"] is None} == {"allow"}
+
+
+def test_quality_sample_does_not_depend_on_the_offer(spark, monkeypatch):
+    names = ["a", "b"]
+    rows = [(i // 3, False, i % 7 / 7, i % 11 / 11) for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, base_failed boolean, a double, b double").repartition(4)
+    labels = spark.createDataFrame([(i, i % 4 // 3) for i in range(1000)], "doc_id long, quality int")
+    taken = []
+    monkeypatch.setattr(quality, "learn_rules", lambda x, bad, names: taken.append((x.tolist(), bad.tolist())))
+    for n in (10, 200, 2999, 3000, 5000):
+        quality.fit_rules(table, labels, n, names)
+        quality.fit_rules(table.coalesce(1), labels, n, names)
+        ranked = (table.join(labels, "doc_id").withColumn("d", F.xxhash64("doc_id"))
+                  .orderBy("d", "doc_id", *names).limit(n).collect())
+        wanted = ([[r["a"], r["b"]] for r in ranked], [r["quality"] == 0 for r in ranked])
+        assert taken[-1] == taken[-2] == wanted
+    assert quality.fit_rules(table.limit(0), labels, 10, names) == []
+
+
 def test_pipeline_equals_its_parts(spark, small, tmp_path):
     """The stages' decisions, checked one by one on each stage's own input."""
     docs = spark.read.parquet(f"{small}/documents.parquet")
