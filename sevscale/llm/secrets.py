@@ -56,6 +56,10 @@ _PART = re.compile(
     r"""|(?P<word>(?:[^\s"',;)}\]+]|\+(?=[^\s"']))(?:[^\s"',;)}\]+]|\+(?=[^\s"']|[ \t]*(?:[\r\n]|\Z)))*))[ \t]*(?P<plus>\+)?"""
 )
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*\Z")
+# A call, a subscript or a placeholder filled in elsewhere, as in ``load(x)``, ``os.environ["X"]``, ``${X}``.
+_COMPUTED = re.compile(r"[A-Za-z_$][\w$]*+(?:(?:\.|::|->|\?\.)[\w$]++)*+[(\[{]|[$%][({]|\{\{|<%")
+# Names and words of prose: parts of two letters and more in one case or capitalized, no digit.
+_WORDLIKE = re.compile(r"(?:[_$.:/<>-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+))++[_$.:/<>?!-]*+\Z")
 # Types and keywords where a value could stand: ``password: string`` declares, it does not assign.
 _RESERVED = frozenset(
     "string String undefined nullptr boolean Boolean integer Integer number Number function lambda".split()
@@ -83,21 +87,31 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 4) * (0.6 + 0.1 * kinds)
 
 
+def _is_literal(word: str) -> bool:
+    """Whether a bare word can be a value by itself."""
+    return word not in _RESERVED and not _COMPUTED.match(word) and not _WORDLIKE.match(word)
+
+
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int]]:
     """Literals that reach a sensitive name, directly or through other names.
 
     A name keeps the literals of its latest assignment; assignments are read in text order.
-    A bare word that is no constant read before is a literal, unless it is a reserved word or
-    an identifier in a sum.  Strings may have prefixes, and declarations types.
+    A bare word that is no constant read before is a literal, unless it is a reserved word, an
+    identifier in a sum, a call, a subscript, a placeholder or made of plain words.  Strings may
+    have prefixes, and declarations types.  An assignment keeps links to those it reads, and
+    weights go back along them once at the end, so time is linear in the text.
     """
     if not _HINT.search(text):
         return []
-    constants: dict[str, tuple[tuple[int, int], ...]] = {}
-    scores: dict[tuple[int, int], float] = {}
+    latest: dict[str, int] = {}  # name to its assignment
+    weights: list[float] = []
+    literals: list[list[tuple[int, int]]] = []
+    reads: list[list[int]] = []
     at = 0
     while pair := _PAIR.search(text, at):
         names, start = [n for n in (pair["declared"], pair["name"]) if n], pair.end()
         reached: list[tuple[int, int]] = []
+        sources: list[int] = []
         weight = max(map(name_score, names))
         if pair["op"].endswith(":") and (typed := _TYPE.match(text, start)):
             start, weight = typed.end(), max(weight, name_score(typed["type"]))
@@ -108,29 +122,34 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
                 quoted = quoted or not joined
                 edge = 3 if len(part["quoted"]) >= 6 and part["quoted"][:3] in ('"' * 3, "'" * 3) else 1
                 reached.append((part.start("quoted") + edge, part.end("quoted") - edge))
-            elif word in constants:
-                reached.extend(constants[word])
+            elif word in latest:
+                sources.append(latest[word])
             else:
                 pieces = word.split("+")
-                known = [p for p in pieces if p in constants]
-                for piece in known:
-                    reached.extend(constants[piece])
+                known = [p for p in pieces if p in latest]
+                sources.extend(latest[p] for p in known)
                 variable = (joined or part["plus"]) and _IDENTIFIER.match(word)
-                if len(known) < len(pieces) and not variable and word not in _RESERVED:
+                if len(known) < len(pieces) and not variable and _is_literal(word):
                     reached.append(part.span("word"))
             if not part["plus"]:
                 break
             joined = True
-        if start > pair.end() and not quoted and typed["type"] not in _RESERVED:
+        if start > pair.end() and not quoted and _is_literal(typed["type"]):
             reached.append(typed.span("type"))  # ``name: value = x`` may as well be a bare value
-        spans = tuple(dict.fromkeys(reached))
-        constants.update(dict.fromkeys(names, spans))
-        if weight:
-            for span in spans:
-                scores[span] = max(scores.get(span, 0.0), weight)
+        latest.update(dict.fromkeys(names, len(weights)))
+        weights.append(weight)
+        literals.append(reached)
+        reads.append(sources)
         at = place if quoted else start
+    scores: dict[tuple[int, int], float] = {}
+    for i in range(len(weights) - 1, -1, -1):  # an assignment reads earlier ones only
+        if weights[i]:
+            for source in reads[i]:
+                weights[source] = max(weights[source], weights[i])
+            for span in literals[i]:
+                scores[span] = max(scores.get(span, 0.0), weights[i])
     return [
-        ("literal", a, b) for (a, b), weight in scores.items()
+        ("literal", a, b) for (a, b), weight in sorted(scores.items())
         if weight * (0.5 + literal_score(text[a:b])) >= threshold and b - a >= LEAST_VALUE
     ]
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -285,6 +286,57 @@ def test_secret_forms(text, found):
     assert sorted(text[a:b] for _, a, b in secrets.lexed_spans(text)) == found
 
 
+@pytest.mark.parametrize("text", [
+    "private_key = load_pem(path)", "credential = Credentials.from_env()", "api_key_header = request.headers",
+    "passphrase: please enter it twice", "credential = Vault::open2(path)", "private_key = self->store.key4(x)",
+    "db_pwd = config.database.password", "passphrase = ${DB_PASSPHRASE2}", "DB_PWD=$(cat /run/pwd2)", "DB_PWD=$DB_PASSPHRASE",
+    'private_key = os.environ["KEY_4096_A"]', "passphrase = settings.PASSPHRASE", "private_key = privateKey",
+    "credential: {{ vault.entry9 }}", "access_key=ACCESS_KEY", "private_key: <your-key-here>", "credential = HTTPServerCredential",
+    "passphrase = getpass.getpass()", "auth_token = token_from_header(request, 12)", "credential: see-the-manual for more",
+    "passphrase = args[0]", "DB_PWD=%(password)s", "credential = client?.login(user)", "access_key: string;",
+])
+def test_expressions_and_prose_are_no_secrets(text):
+    assert [text[a:b] for _, a, b in secrets.lexed_spans(text)] == []
+
+
+@pytest.mark.parametrize("text, value", [
+    ("DB_PWD=XkfjQpLmZrBv", "XkfjQpLmZrBv"), ("private_key: aB3$xY9!kL", "aB3$xY9!kL"), ("access_key=ab12cd34ef56", "ab12cd34ef56"),
+    ('credential = "please-change-Me1"', "please-change-Me1"), ("passphrase=correct7horse9X", "correct7horse9X"),
+])
+def test_values_stay_secrets(text, value):
+    assert [text[a:b] for _, a, b in secrets.lexed_spans(text)] == [value]
+
+
+def test_secret_links_equal_plain_propagation():
+    """Generated sums of names and literals, against sets of literals carried from name to name."""
+    draw = random.Random(11)
+    for _ in range(200):
+        holds, found, text = {}, set(), ""
+        for n in range(draw.randrange(1, 25)):
+            name = draw.choice(["a", "b", "c", "d", "private_key", "my_passphrase"])
+            parts, reached = [], set()
+            for _ in range(draw.randrange(1, 4)):
+                if draw.random() < 0.5:
+                    parts.append(f'"Xk29fjQp{n:02}Lm{len(parts)}"')
+                    reached.add(parts[-1][1:-1])
+                else:
+                    parts.append(draw.choice("abcde"))
+                    reached |= holds.get(parts[-1], set())
+            holds[name] = reached
+            found |= reached if len(name) > 1 else set()
+            text += f"{name} = {' + '.join(parts)}\n"
+        assert {text[a:b] for _, a, b in secrets.lexed_spans(text)} == found, text
+
+
+def test_secret_chains_take_linear_time():
+    text = "".join(f's = s + "part{i}Xy7"\n' for i in range(100_000)) + "passphrase = s\n"
+    start = time.monotonic()
+    assert len(secrets.lexed_spans(text)) == 100_000
+    for hard in ("passphrase = " + "a" * 2_000_000 + "1", "passphrase = " + "aB" * 1_000_000, "passphrase = " + "a." * 1_000_000):
+        secrets.lexed_spans(hard)
+    assert time.monotonic() - start < 60
+
+
 def test_secret_edges(docs):
     got = secrets.digest_spans(secrets.find_secrets(docs(*EDGES))).collect()
     assert len(got) == len(EDGES)
