@@ -7,13 +7,15 @@ repeated edges matter:
    Two equal windows select the same anchor at the same place, so a window can only repeat
    around an anchor that repeats in another text.  Texts of equal words count once.
 2. Windows around repeated anchors become edges with their source coordinates, a second
-   number of their words, and short marks of the edges before and after.  Edges found in
-   two documents are kept, each with its first source.
+   number of their words, and short marks of the edges before and after.  Where many texts of
+   a batch have an edge, two of them stand for it; the others become runs on the text that has
+   it first there.  Edges found in two documents are kept.
 3. An edge whose sources name different edges before (after) it is where paths join (part).
-   A path is a chain of edges, consecutive in their first source, without such a branch.
-4. Joining a document's windows to the paths gives its spans.  Each window is verified at its
-   source coordinates: its second, independent number must equal that of the first source's
-   words.  Then the words under the spans are removed.
+   A path is a chain of edges, consecutive in their first source, without such a branch:
+   pieces of at most ``PIECE`` edges, joined end to start, heads found by pointer doubling.
+4. Windows find their place on a path by their edge and are verified at the path's source
+   coordinates: their second, independent number must equal that of the words there.  Those on
+   a path with an earlier source go, and the words under them are removed.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from sevscale.llm.frames import Scratch, as_bytes, per_batch
 from sevscale.llm.words import covered, scramble, sequence_numbers, word_numbers
 
 SPAN = 50  # words a repeated passage has at least
+PIECE = 128  # edges that are put in a row at once; longer paths are joined from pieces
 SECOND = np.uint64(0xA0761D6478BD642F)
 
 
@@ -106,15 +109,17 @@ def repeated_places(outlines: DataFrame) -> DataFrame:
 
 
 def edges_around(texts: DataFrame, k: int) -> DataFrame:
-    """(edge, doc, at, marks) of the windows that hold a place, from rows (doc_id, text, places).
+    """Windows that hold a place, from rows (doc_id, text, places), as ``combined`` leaves them.
 
+    Rows with n = 0 are single windows (edge, doc, at, marks), the others runs of n windows of
+    ``doc`` from ``at`` that equal those of ``source`` from ``source_at``.
     ``marks``: 32 bits of the second number, 16 each of the edges before and after (0: none).
     """
 
     def rows(batch: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {c: [np.zeros(0, np.int64)] for c in ("edge", "doc", "at", "marks")}
+        found: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.uint64)]
         width = k // 2
-        for doc, text, places in zip(batch["doc_id"], batch["text"], batch["places"]):
+        for doc, text, places in sorted(zip(batch["doc_id"], batch["text"], batch["places"]), key=lambda r: r[0]):
             words = word_numbers(as_bytes(text))
             edges = sequence_numbers(words, k)
             checks = sequence_numbers(scramble(words ^ SECOND), k) >> np.uint64(32) << np.uint64(32)
@@ -123,11 +128,52 @@ def edges_around(texts: DataFrame, k: int) -> DataFrame:
             # An anchor at p lies in the windows that start at p - width + 1 .. p.
             first = np.maximum(np.array(places, np.int64) - width + 1, 0)
             at = np.flatnonzero(_ranges(first, np.array(places, np.int64) + 1, len(edges)))
-            for c, v in zip(out, (edges[at].view(np.int64), np.full(len(at), doc), at, marks[at].view(np.int64))):
-                out[c].append(v)
-        return {c: np.concatenate(v) for c, v in out.items()}
+            for out, v in zip(found, (edges[at], np.full(len(at), doc, np.int64), at, marks[at])):
+                out.append(v)
+        return combined(*map(np.concatenate, found))
+
+    return per_batch(texts, "edge long, doc long, at int, marks long, n int, source long, source_at int", rows)
+
 
-    return per_batch(texts, "edge long, doc long, at int, marks long", rows)
+def combined(edge: np.ndarray, doc: np.ndarray, at: np.ndarray, marks: np.ndarray) -> dict[str, np.ndarray]:
+    """A batch's windows, given by (doc, at), with at most two rows of an edge besides its first text's.
+
+    An edge's first and last window of the batch stay and carry the lowest and highest marks of
+    all.  Other windows of later texts are known to repeat: they become runs on the first text.
+    """
+    order = np.argsort(edge, kind="stable")
+    e, d, a, m = edge[order], doc[order], at[order], marks[order]
+    starts = np.flatnonzero(np.concatenate(([True], e[1:] != e[:-1]))) if len(e) else np.zeros(0, np.int64)
+    ends = np.append(starts[1:], len(e))[: len(starts)] - 1
+    first, last = np.repeat(starts, ends - starts + 1), np.repeat(ends, ends - starts + 1)
+    place = np.arange(len(e))
+    check = m >> np.uint64(32)
+    again = (place != first) & (place != last) & (d != d[first]) & (check == check[first])
+    if len(e):
+        before, after = m >> np.uint64(16) & np.uint64(65535), m & np.uint64(65535)
+        low, high = [], []
+        for mark in (before, after):
+            least = np.minimum.reduceat(np.where(mark == 0, np.uint64(65536), mark), starts)
+            low.append(np.where(least == 65536, np.uint64(0), least))
+            high.append(np.maximum.reduceat(mark, starts))
+        m = m.copy()
+        m[starts] = check[starts] << np.uint64(32) | low[0] << np.uint64(16) | low[1]
+        more = ends > starts
+        m[ends[more]] = (check[ends] << np.uint64(32) | high[0] << np.uint64(16) | high[1])[more]
+    lone = np.flatnonzero(~again)
+    runs = np.flatnonzero(again)
+    runs = runs[np.argsort(order[runs], kind="stable")]
+    whose, where, source, source_at = d[runs], a[runs], d[first[runs]], a[first[runs]]
+    breaks = np.ones(len(runs), bool)
+    breaks[1:] = ((np.diff(whose) != 0) | (np.diff(where) != 1) | (np.diff(source) != 0) | (np.diff(source_at) != 1))
+    begin = np.flatnonzero(breaks)
+    none, blank = np.zeros(len(lone), np.int64), np.zeros(len(begin), np.int64)
+    return {
+        "edge": np.concatenate((e[lone].view(np.int64), blank)), "doc": np.concatenate((d[lone], whose[begin])),
+        "at": np.concatenate((a[lone], where[begin])), "marks": np.concatenate((m[lone].view(np.int64), blank)),
+        "n": np.concatenate((none, np.diff(np.append(begin, len(runs))))),
+        "source": np.concatenate((none, source[begin])), "source_at": np.concatenate((none, source_at[begin])),
+    }
 
 
 def _ranges(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -138,50 +184,79 @@ def _ranges(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(change)[:n] > 0
 
 
-def compact(edges: DataFrame) -> DataFrame:
+def compact(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(edge, check, path_doc, path_at, offset): each repeated edge's place on its path.
 
     ``edges`` has one row per repeated edge: its first source (doc, at), the second number of
     its words there, and whether paths join before it or part after it.
     """
-    along = Window.partitionBy("doc").orderBy("at")
+    along = Window.partitionBy("doc", F.shiftright("at", PIECE.bit_length() - 1)).orderBy("at")
     follows = (F.lag("at").over(along) == F.col("at") - 1) & ~F.col("joins") & ~F.lag("parts").over(along)
-    return edges.withColumn("begins", F.when(follows, None).otherwise(F.col("at"))).withColumn(
-        "path_at", F.last("begins", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).select("edge", "check", F.col("doc").alias("path_doc"), "path_at", (F.col("at") - F.col("path_at")).alias("offset"))
-
-
-def repeated_spans(texts: DataFrame, k: int) -> DataFrame:
-    """(doc, spans): per document its verified windows whose first source is an earlier one,
-    as (at, path_doc, path_at, offset), from rows (doc_id, text, places)."""
-    # Dealt out by edge once, with the same columns and filters, for the sources and the join.
-    windows = edges_around(texts, k).where("edge IS NOT NULL AND doc IS NOT NULL").repartition("edge")
+    placed = scratch.keep(edges.withColumn("begins", F.when(follows, None).otherwise(F.col("at"))).withColumn(
+        "piece", F.last("begins", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ).drop("begins"), "pieces")
+    pieces = placed.groupBy("doc", "piece").agg(
+        (F.max("at") + 1).alias("end"), F.min_by("joins", "at").alias("joins"), F.max_by("parts", "at").alias("parts"))
+    ahead = pieces.where(~F.col("parts")).select("doc", F.col("end").alias("piece"), F.col("piece").alias("ahead"))
+    heads = scratch.keep(pieces.join(ahead, ["doc", "piece"], "left").select(
+        "doc", "piece", F.when(F.col("joins"), F.col("piece")).otherwise(F.coalesce("ahead", "piece")).alias("head")), "heads")
+    while True:
+        further = heads.select("doc", F.col("piece").alias("head"), F.col("head").alias("further"))
+        following = scratch.keep(heads.join(further, ["doc", "head"]).select(
+            "doc", "piece", F.col("further").alias("head"), (F.col("further") != F.col("head")).alias("moved")), "heads")
+        heads = following.select("doc", "piece", "head")
+        if not following.where("moved").limit(1).count():
+            break
+    return placed.join(heads, ["doc", "piece"]).select(
+        "edge", "check", F.col("doc").alias("path_doc"), F.col("head").alias("path_at"), (F.col("at") - F.col("head")).alias("offset"))
+
+
+def repeated_windows(windows: DataFrame) -> DataFrame:
+    """Windows (edge, doc, at, check) whose edge two documents have; ``leads`` at its first
+    source, with whether paths join before the edge or part after it."""
+    of = Window.partitionBy("edge")
     check = F.shiftrightunsigned("marks", 32)
     before = F.nullif(F.shiftrightunsigned("marks", 16).bitwiseAND(65535), F.lit(0))
     after = F.nullif(F.col("marks").bitwiseAND(65535), F.lit(0))
-    edges = windows.groupBy("edge").agg(
-        F.min(F.struct("doc", "at", check.alias("check"))).alias("first"), F.max("doc").alias("last"),
-        F.coalesce(F.min(before) != F.max(before), F.lit(False)).alias("joins"),
-        F.coalesce(F.min(after) != F.max(after), F.lit(False)).alias("parts"),
-    ).where(F.col("last") != F.col("first.doc")).select("edge", "first.*", "joins", "parts")
-    return (
-        windows.select("edge", F.col("doc").alias("own"), F.col("at").alias("own_at"), check.alias("own_check"))
-        .join(compact(edges), "edge")
+    return windows.where("n = 0").select("edge", "doc", "at", check.alias("check"), before.alias("before"), after.alias("after")).select(
+        "edge", "doc", "at", "check", F.min(F.struct("doc", "at")).over(of).alias("first"), F.max("doc").over(of).alias("last"),
+        F.coalesce(F.min("before").over(of) != F.max("before").over(of), F.lit(False)).alias("joins"),
+        F.coalesce(F.min("after").over(of) != F.max("after").over(of), F.lit(False)).alias("parts"),
+    ).where("last <> first.doc").select(
+        "edge", "doc", "at", "check", ((F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at"))).alias("leads"), "joins", "parts")
+
+
+def repeated_spans(texts: DataFrame, k: int) -> DataFrame:
+    """(doc, spans): per document its verified windows on paths with an earlier source, as
+    (at, n, path_doc, path_at), n windows from ``at``, from rows (doc_id, text, places)."""
+    scratch = Scratch(texts.sparkSession)
+    windows = scratch.keep(edges_around(texts, k), "windows")
+    repeated = scratch.keep(repeated_windows(windows), "repeated")
+    paths = compact(repeated.where("leads").select("edge", "check", "doc", "at", "joins", "parts"), scratch)
+    lone = (
+        repeated.select("edge", F.col("doc").alias("own"), "at", F.col("check").alias("own_check")).join(paths, "edge")
         # The difference is no join key: windows stay placed by their edge alone.
-        .where((F.col("own") != F.col("path_doc")) & (F.col("own_check") - F.col("check") == 0))
-        .groupBy(F.col("own").alias("doc"))
-        .agg(F.collect_list(F.struct(F.col("own_at").alias("at"), "path_doc", "path_at", "offset")).alias("spans"))
+        .where(F.col("own_check") - F.col("check") == 0)
+        .select("own", "at", F.lit(1).alias("n"), "path_doc", "path_at")
     )
+    runs = windows.where("n > 0").select(
+        F.col("doc").alias("own"), "at", "n", F.col("source").alias("path_doc"), F.col("source_at").alias("path_at"))
+    spans = lone.unionByName(runs).where(F.col("path_doc") < F.col("own")).groupBy(F.col("own").alias("doc")).agg(
+        F.collect_list(F.struct("at", "n", "path_doc", "path_at")).alias("spans"))
+    return scratch.finish(spans, "spans")
 
 
 def remove_spans(texts: DataFrame, k: int) -> DataFrame:
-    """(doc_id, key, n_removed, kept_text) of rows (doc_id, key, text, ats): words under windows go."""
+    """(doc_id, key, n_removed, kept_text) of rows (doc_id, key, text, ats, ns): words under windows go."""
 
     def rows(batch: dict[str, list]) -> dict[str, object]:
         removed, kept = [], []
-        for text, ats in zip(batch["text"], batch["ats"]):
+        for text, ats, ns in zip(batch["text"], batch["ats"], batch["ns"]):
             words = as_bytes(text).split()
-            gone = covered(np.array(ats, np.int64), k, len(words))
+            ats, ns = np.array(ats, np.int64), np.array(ns, np.int64)
+            # Each run of n windows from a place, as the n places.
+            starts = np.repeat(ats - np.cumsum(ns) + ns, ns) + np.arange(ns.sum())
+            gone = covered(starts, k, len(words))
             removed.append(int(gone.sum()))
             kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
         return {"doc_id": batch["doc_id"], "key": batch["key"], "n_removed": removed, "kept_text": kept}
@@ -213,7 +288,7 @@ def deduplicated_words(
             F.min(F.struct("key", "same")).alias("j")).select("doc_id", "j.*"), "judged"
     )
     wanted = judged.join(repeated_places(outlines), "same").select("doc_id", "key", "places")
-    spans = repeated_spans(_texts_of(docs, wanted), k).select(F.col("doc").alias("doc_id"), F.col("spans.at").alias("ats"))
+    spans = repeated_spans(_texts_of(docs, wanted), k).select(F.col("doc").alias("doc_id"), F.col("spans.at").alias("ats"), F.col("spans.n").alias("ns"))
     cut = remove_spans(_texts_of(docs, judged.select("doc_id", "key").join(spans, "doc_id")), k).select(
         "doc_id", "key", "n_removed", "kept_text", F.sha2("kept_text", 256).alias("cut_sha"))
     gone = F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= k), F.lit(False))

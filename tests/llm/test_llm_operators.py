@@ -12,15 +12,16 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sevscale.llm import jaccard, packing, quality, secrets
+from sevscale.llm import jaccard, packing, quality, secrets, substring
 from sevscale.llm.chat import format_chats
 from sevscale.llm.exact import exact_dedup, exact_groups
+from sevscale.llm.frames import Scratch
 from sevscale.llm.jaccard import similar_groups
 from sevscale.llm.langid import fit_profiles, identify
 from sevscale.llm.mixing import curriculum, mixed_rows
 from sevscale.llm.packing import pack, plan_sequences
 from sevscale.llm.queries import QUERIES, VOCABULARY
-from sevscale.llm.substring import deduplicated_words, settled
+from sevscale.llm.substring import combined, compact, deduplicated_words, settled
 from sevscale.llm.urls import held_out_verdicts, url_verdicts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -144,6 +145,55 @@ def test_anchors_settle_within_a_batch():
     assert [s.tolist() for s in state] == [[0, 0], [1, 1], [-1, -1], [0, 0, 0], []]
 
 
+def test_windows_combine_within_a_batch():
+    edge = np.array([5, 6, 5, 6, 5, 6, 5, 5, 9], np.uint64)
+    doc = np.array([1, 1, 2, 2, 3, 3, 3, 4, 4])
+    at = np.array([10, 11, 0, 1, 7, 8, 20, 2, 3])
+    before, after = [0, 3, 4, 3, 0, 3, 2, 4, 0], [6, 0, 6, 7, 6, 0, 6, 8, 0]
+    marks = np.array([b << 16 | a for b, a in zip(before, after)], np.uint64)
+    out = combined(edge, doc, at, marks)
+    rows = sorted(zip(*[out[c].tolist() for c in ("n", "doc", "at", "edge", "marks", "source", "source_at")]))
+    # First and last stay with the lowest and highest marks; windows 5 (and once 6) between follow document 1.
+    assert rows == [(0, 1, 10, 5, 2 << 16 | 6, 0, 0), (0, 1, 11, 6, 3 << 16 | 7, 0, 0), (0, 3, 8, 6, 3 << 16 | 7, 0, 0),
+                    (0, 4, 2, 5, 4 << 16 | 8, 0, 0), (0, 4, 3, 9, 0, 0, 0),
+                    (1, 3, 7, 0, 0, 1, 10), (1, 3, 20, 0, 0, 1, 10), (2, 2, 0, 0, 0, 1, 10)]
+    other = np.array([0, 0, 1 << 32, 0, 0, 0, 0, 0, 0], np.uint64)  # another second number: no run
+    assert (0, 2, 0) in set(zip(*[combined(edge, doc, at, marks | other)[c].tolist() for c in ("n", "doc", "at")]))
+    assert all(len(v) == 0 for v in combined(*(np.zeros(0, v.dtype) for v in (edge, doc, at, marks))).values())
+
+
+def test_paths_equal_a_plain_walk(spark):
+    draw = random.Random(6)
+    rows = [(1, at, draw.random() < 0.004, draw.random() < 0.004) for at in range(3, 2500) if draw.random() < 0.998]
+    rows += [(2, at, False, False) for at in range(1000)] + [(3, 5, True, True)]
+    expected, head = {}, None
+    for i, (doc, at, joins, _) in enumerate(rows):
+        if i == 0 or rows[i - 1][:2] != (doc, at - 1) or joins or rows[i - 1][3]:
+            head = at
+        expected[doc, at] = head
+    edges = spark.createDataFrame([(1000 * d + a, 7, d, a, j, p) for d, a, j, p in rows],
+                                  "edge long, check long, doc long, at int, joins boolean, parts boolean").repartition(5)
+    got = compact(edges, Scratch(spark)).collect()
+    assert {(r["path_doc"], r["path_at"] + r["offset"]): r["path_at"] for r in got} == expected and len(got) == len(rows)
+
+
+def test_paths_decide_what_goes(docs, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(60))
+    pairs = [(i, f"{passage} tail{i} " * 2 if i == 4 else f"head{i} {passage} tail{i}") for i in range(2, 40)]
+    table = docs(*pairs)
+
+    def result(partitions):
+        rows = deduplicated_words(table.repartition(partitions)).collect()
+        return {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows}
+
+    right = brute_windows(pairs, 50)
+    assert result(1) == result(8) == right
+    placed = substring.compact
+    # With paths of other sources other words go.
+    monkeypatch.setattr(substring, "compact", lambda e, s: placed(e, s).withColumn("path_doc", F.lit(100).cast("long")))
+    assert result(8)[39] != right[39]
+
+
 def test_substring_edges(docs):
     got = deduplicated_words(docs(*EDGES)).collect()
     assert len(got) == len(EDGES)
