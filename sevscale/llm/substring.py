@@ -108,11 +108,16 @@ def repeated_places(outlines: DataFrame) -> DataFrame:
         F.collect_set("place").alias("places"))
 
 
+def second_numbers(words: np.ndarray, k: int) -> np.ndarray:
+    """Another number per run of k words, independent of the first."""
+    return sequence_numbers(scramble(words ^ SECOND), k)
+
+
 def edges_around(texts: DataFrame, k: int) -> DataFrame:
     """Windows that hold a place, from rows (doc_id, text, places), as ``combined`` leaves them.
 
-    Rows with n = 0 are single windows (edge, doc, at, marks), the others runs of n windows of
-    ``doc`` from ``at`` that equal those of ``source`` from ``source_at``.
+    Rows with n = 0 are single windows (edge, doc, at, marks), those with n > 0 runs of n windows
+    of ``doc`` from ``at`` that equal those of ``source`` from ``source_at``.
     ``marks``: 32 bits of the second number, 16 each of the edges before and after (0: none).
     """
 
@@ -122,7 +127,7 @@ def edges_around(texts: DataFrame, k: int) -> DataFrame:
         for doc, text, places in sorted(zip(batch["doc_id"], batch["text"], batch["places"]), key=lambda r: r[0]):
             words = word_numbers(as_bytes(text))
             edges = sequence_numbers(words, k)
-            checks = sequence_numbers(scramble(words ^ SECOND), k) >> np.uint64(32) << np.uint64(32)
+            checks = second_numbers(words, k) >> np.uint64(32) << np.uint64(32)
             short = np.concatenate(([0], edges % np.uint64(65535) + np.uint64(1), [0])).astype(np.uint64)
             marks = checks | short[:-2] << np.uint64(16) | short[2:]
             # An anchor at p lies in the windows that start at p - width + 1 .. p.
@@ -136,10 +141,11 @@ def edges_around(texts: DataFrame, k: int) -> DataFrame:
 
 
 def combined(edge: np.ndarray, doc: np.ndarray, at: np.ndarray, marks: np.ndarray) -> dict[str, np.ndarray]:
-    """A batch's windows, given by (doc, at), with at most two rows of an edge besides its first text's.
+    """A batch's windows, given by (doc, at), with at most two rows of an edge.
 
     An edge's first and last window of the batch stay and carry the lowest and highest marks of
-    all.  Other windows of later texts are known to repeat: they become runs on the first text.
+    all.  Others are known to repeat: the first of each later text becomes part of a run on the
+    first text; further ones of a text share its first one's fate, told by one row (doc, n = -1).
     """
     order = np.argsort(edge, kind="stable")
     e, d, a, m = edge[order], doc[order], at[order], marks[order]
@@ -147,8 +153,13 @@ def combined(edge: np.ndarray, doc: np.ndarray, at: np.ndarray, marks: np.ndarra
     ends = np.append(starts[1:], len(e))[: len(starts)] - 1
     first, last = np.repeat(starts, ends - starts + 1), np.repeat(ends, ends - starts + 1)
     place = np.arange(len(e))
+    other = np.ones(len(e), bool)
+    other[1:] = (e[1:] != e[:-1]) | (d[1:] != d[:-1])
+    own = np.maximum.accumulate(np.where(other, place, 0))
     check = m >> np.uint64(32)
-    again = (place != first) & (place != last) & (d != d[first]) & (check == check[first])
+    echo = ~other & (place != last) & (check == check[own])
+    again = other & (place != first) & (place != last) & (check == check[first])
+    echoing = np.unique(d[echo])
     if len(e):
         before, after = m >> np.uint64(16) & np.uint64(65535), m & np.uint64(65535)
         low, high = [], []
@@ -160,20 +171,21 @@ def combined(edge: np.ndarray, doc: np.ndarray, at: np.ndarray, marks: np.ndarra
         m[starts] = check[starts] << np.uint64(32) | low[0] << np.uint64(16) | low[1]
         more = ends > starts
         m[ends[more]] = (check[ends] << np.uint64(32) | high[0] << np.uint64(16) | high[1])[more]
-    lone = np.flatnonzero(~again)
+    lone = np.flatnonzero(~again & ~echo)
     runs = np.flatnonzero(again)
     runs = runs[np.argsort(order[runs], kind="stable")]
     whose, where, source, source_at = d[runs], a[runs], d[first[runs]], a[first[runs]]
     breaks = np.ones(len(runs), bool)
     breaks[1:] = ((np.diff(whose) != 0) | (np.diff(where) != 1) | (np.diff(source) != 0) | (np.diff(source_at) != 1))
     begin = np.flatnonzero(breaks)
-    none, blank = np.zeros(len(lone), np.int64), np.zeros(len(begin), np.int64)
-    return {
-        "edge": np.concatenate((e[lone].view(np.int64), blank)), "doc": np.concatenate((d[lone], whose[begin])),
-        "at": np.concatenate((a[lone], where[begin])), "marks": np.concatenate((m[lone].view(np.int64), blank)),
-        "n": np.concatenate((none, np.diff(np.append(begin, len(runs))))),
-        "source": np.concatenate((none, source[begin])), "source_at": np.concatenate((none, source_at[begin])),
+    none, blank, void = (np.zeros(len(x), np.int64) for x in (lone, begin, echoing))
+    parts = {
+        "edge": (e[lone].view(np.int64), blank, void), "doc": (d[lone], whose[begin], echoing),
+        "at": (a[lone], where[begin], void), "marks": (m[lone].view(np.int64), blank, void),
+        "n": (none, np.diff(np.append(begin, len(runs))), void - 1),
+        "source": (none, source[begin], void), "source_at": (none, source_at[begin], void),
     }
+    return {c: np.concatenate(v) for c, v in parts.items()}
 
 
 def _ranges(start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -227,8 +239,9 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, k: int) -> DataFrame:
-    """(doc, spans): per document its verified windows on paths with an earlier source, as
-    (at, n, path_doc, path_at), n windows from ``at``, from rows (doc_id, text, places)."""
+    """(doc, spans, echoes): per document its verified windows on paths with an earlier source,
+    as (at, n, path_doc, path_at), n windows from ``at``; and whether windows of the document
+    that equal these are left out.  From rows (doc_id, text, places)."""
     scratch = Scratch(texts.sparkSession)
     windows = scratch.keep(edges_around(texts, k), "windows")
     repeated = scratch.keep(repeated_windows(windows), "repeated")
@@ -241,21 +254,29 @@ def repeated_spans(texts: DataFrame, k: int) -> DataFrame:
     )
     runs = windows.where("n > 0").select(
         F.col("doc").alias("own"), "at", "n", F.col("source").alias("path_doc"), F.col("source_at").alias("path_at"))
-    spans = lone.unionByName(runs).where(F.col("path_doc") < F.col("own")).groupBy(F.col("own").alias("doc")).agg(
-        F.collect_list(F.struct("at", "n", "path_doc", "path_at")).alias("spans"))
+    span = F.struct("at", "n", "path_doc", "path_at")
+    found = lone.unionByName(runs).where(F.col("path_doc") < F.col("own")).select(F.col("own").alias("doc"), span.alias("span"))
+    echoing = windows.where("n < 0").select("doc", F.lit(None).cast(found.schema["span"].dataType).alias("span"))
+    spans = found.unionByName(echoing).groupBy("doc").agg(
+        F.collect_list("span").alias("spans"), F.max(F.col("span").isNull()).alias("echoes")).where(F.size("spans") > 0)
     return scratch.finish(spans, "spans")
 
 
 def remove_spans(texts: DataFrame, k: int) -> DataFrame:
-    """(doc_id, key, n_removed, kept_text) of rows (doc_id, key, text, ats, ns): words under windows go."""
+    """(doc_id, key, n_removed, kept_text) of rows (doc_id, key, text, ats, ns, echoes): words under windows go."""
 
     def rows(batch: dict[str, list]) -> dict[str, object]:
         removed, kept = [], []
-        for text, ats, ns in zip(batch["text"], batch["ats"], batch["ns"]):
-            words = as_bytes(text).split()
+        for text, ats, ns, echoes in zip(batch["text"], batch["ats"], batch["ns"], batch["echoes"]):
+            data = as_bytes(text)
+            words = data.split()
             ats, ns = np.array(ats, np.int64), np.array(ns, np.int64)
             # Each run of n windows from a place, as the n places.
             starts = np.repeat(ats - np.cumsum(ns) + ns, ns) + np.arange(ns.sum())
+            if echoes:
+                numbers = word_numbers(data)
+                windows = sequence_numbers(numbers, k) ^ scramble(second_numbers(numbers, k))
+                starts = np.flatnonzero(np.isin(windows, windows[starts]))
             gone = covered(starts, k, len(words))
             removed.append(int(gone.sum()))
             kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode())
@@ -288,7 +309,7 @@ def deduplicated_words(
             F.min(F.struct("key", "same")).alias("j")).select("doc_id", "j.*"), "judged"
     )
     wanted = judged.join(repeated_places(outlines), "same").select("doc_id", "key", "places")
-    spans = repeated_spans(_texts_of(docs, wanted), k).select(F.col("doc").alias("doc_id"), F.col("spans.at").alias("ats"), F.col("spans.n").alias("ns"))
+    spans = repeated_spans(_texts_of(docs, wanted), k).select(F.col("doc").alias("doc_id"), F.col("spans.at").alias("ats"), F.col("spans.n").alias("ns"), "echoes")
     cut = remove_spans(_texts_of(docs, judged.select("doc_id", "key").join(spans, "doc_id")), k).select(
         "doc_id", "key", "n_removed", "kept_text", F.sha2("kept_text", 256).alias("cut_sha"))
     gone = F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= k), F.lit(False))
