@@ -210,7 +210,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
 
 def pack(
     df: DataFrame, vocabulary: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text",
-    added: bool = False,
+    added: bool = True,
 ) -> DataFrame:
     """Per piece: the columns of PIECES, ``sequence_id`` and ``offset``.
 

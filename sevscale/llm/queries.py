@@ -32,33 +32,40 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document, learned from those not held out; edges as in ``fit_profiles`` and ``identify``."""
     docs = read_table(spark, sf_dir, "documents")
     profiles = fit_profiles(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     return identify(docs, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; edges as in ``similar_groups``."""
     return similar_groups(read_table(spark, sf_dir, "documents"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places; edges as in ``pack``."""
     return pack(read_table(spark, sf_dir, "documents"), VOCABULARY, added=True)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the spans of every document; edges as in ``find_secrets``."""
     return digest_spans(find_secrets(read_table(spark, sf_dir, "documents")))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group and fate of every document; edges as in ``exact_groups``."""
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of what is left of every document; edges as in ``deduplicated_words``."""
     docs = read_table(spark, sf_dir, "documents")
     return deduplicated_words(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; edges as in ``text_statistics`` and ``fit_rules``."""
     statistics = stage(text_statistics(read_table(spark, sf_dir, "documents")), "statistics")
     rules = fit_rules(statistics, read_table(spark, sf_dir, "labels"))
     return quality_verdicts(statistics, rules).select(
@@ -66,15 +73,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document and its first position; edges as in ``curriculum``."""
     return by_position(curriculum(read_table(spark, sf_dir, "documents"))).select(
         "doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered; edges as in ``format_chats``."""
     return format_chats(read_table(spark, sf_dir, "conversations"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; edges as in ``url_verdicts``."""
     return url_verdicts(read_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -231,8 +241,10 @@ WITH l AS (
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
 ), k AS (
   SELECT *, translate(regexp_replace(line, '^[ 	
-]+|[ 	
-]+$', '', 'g'),
+
+]+|[ 	
+
+]+$', '', 'g'),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
 ), r AS (
   SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
@@ -246,7 +258,8 @@ OP13_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
-]')) AS piece FROM documents
+
+]')) AS piece FROM documents
 ), w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p
 ), n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang
 ), f AS (
