@@ -62,6 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of the documents that the stages keep, each stage staged before the next.
+
+    Null and empty texts fail the base rules and go; so do texts under 20 words.  Repeated rows
+    come down to one by their text.  Texts are read whole.  No documents in, no pieces out.
+    """
     docs = read_table(spark, sf_dir, "documents")
     for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), name.replace(" ", "_"))
