@@ -85,7 +85,7 @@ def test_sequences_rebuild_every_text(docs):
     draw = random.Random(9)
     texts = {i: draw.choice(["", "<|endoftext|>", "a b c "]) + "word é " * draw.randrange(0, 4000) for i in range(25)}
     texts[25] = None
-    pieces = pack(docs(*texts.items()), VOCABULARY).collect()
+    pieces = pack(docs(*texts.items()), VOCABULARY, added=True).collect()
     places = {}
     for r in pieces:
         places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
