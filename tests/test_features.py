@@ -1,9 +1,11 @@
 import math
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sevscale.functions import gram_batches as B
 from sevscale.functions.grams import char_wb_array
 from sevscale.operators import features as V
 
@@ -121,3 +123,69 @@ def test_grams_that_share_a_bucket(spark):
         V.gram_counts(df, "id", "text", min_df=3, buckets=b), n, 3, 0.95).collect()) for b in (64, 1 << 16))
     assert got == want and got
     assert 64 <= V.LEAST_BUCKETS <= V.bucket_count(df) <= V.MOST_BUCKETS
+
+
+def test_gram_rows_are_neither_broadcast_nor_moved(spark):
+    df = frame(spark, ["some words", "other words", "some other"])
+    model = V.fit_idf(df, "id", "text", 1, 1.0).withColumn("m0", F.lit(0.5))
+    scores = V.linear_scores(V.tfidf_transform(model, df, "id", "text"), model, df, ["m0"])
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan.split("FlatMapGroupsInArrow", 1)[1]  # grams of small texts may be many
+    assert "Window" not in plan
+    above = plan.split("FlatMapGroupsInArrow", 1)[0]
+    assert all("hashpartitioning(gram" not in line for line in above.splitlines())
+
+
+def test_rows_of_one_id_count_together(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "aa bb"), (2, "cc"), (1, "bb"), (None, "aa"), (None, "dd"), (3, None)], "id long, text string")
+    want = {1: Counter(python_grams("aa bb bb")), 2: Counter(python_grams("cc")), None: Counter(python_grams("aa dd"))}
+    got = {}
+    for r in V.gram_counts(df, "id", "text").collect():
+        assert r.gram not in got.setdefault(r.id, Counter())
+        got[r.id][r.gram] = r.tf
+    assert got == want
+    packed = {r.id: Counter(dict(zip(r.grams, r.tfs))) for r in V.gram_counts(df, "id", "text", packed=True).collect()}
+    assert packed == want
+    model = V.fit_idf(df, "id", "text", 1, 1.0)
+    rows = V.tfidf_transform(model, df, "id", "text").collect()
+    assert sorted((str(r.id), r.gram) for r in rows) == sorted((str(i), g) for i, c in want.items() for g in c)
+
+
+def test_blocks_do_not_divide_an_id(monkeypatch):
+    monkeypatch.setattr(B, "WORDS", 4)
+    rows = [(1, ["a"] * 3), (1, ["b"] * 9), (1, ["c"]), (2, []), (3, ["d"] * 2), (None, ["e"]), (None, ["f"] * 6), (4, None)]
+    for size in (1, 2, 8):
+        batches = [pa.RecordBatch.from_pydict(
+            {"id": pa.array([i for i, _ in rows[a:a + size]], pa.int64()), "words": pa.array([w for _, w in rows[a:a + size]], pa.list_(pa.string()))}
+        ) for a in range(0, len(rows), size)]
+        got = []
+        for ids, text, words in B.blocks(iter(batches)):
+            for n, i in enumerate(ids.to_pylist()):
+                got.append((i, [w for t, w in zip(text, words.to_pylist()) if t == n]))
+        assert got == [(1, ["a"] * 3 + ["b"] * 9 + ["c"]), (2, []), (3, ["d"] * 2), (None, ["e"] + ["f"] * 6), (4, [])]
+
+
+def test_cuts_equal_the_rule_for_any_letters():
+    wide = "".join(chr(0x4E00 + i) for i in range(1500))
+    for words in (["a", "bb", "ccc", "é€😀z" * 9], [wide], ["x\0y" * 3], []):
+        sizes, numbers, grams = B.cuts(pa.array(words, pa.string()), 4, 6)
+        listed, at = grams.to_pylist(), 0
+        for word, n in zip(words, sizes):
+            assert Counter(listed[g] for g in numbers[at:at + n]) == Counter(python_grams(word))
+            at += n
+
+
+def test_batches_go_to_different_partitions(spark):
+    marks = V.batch_marks(spark, 13)
+    parts = spark.createDataFrame([(m,) for m in marks], "m int").select(F.pmod(F.hash("m"), F.lit(13))).collect()
+    assert len({p[0] for p in parts}) == len(marks) == 13
+
+
+def test_texts_move_once_for_model_and_weights(spark):
+    df = spark.range(30).select("id", F.concat_ws(" ", F.col("id"), F.lit("word")).alias("text"))
+    rows = V.tfidf_transform(V.fit_idf(df, "id", "text"), df, "id", "text")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "hashpartitioning(batch" in line and "REPARTITION" in line]
+    assert len(moved) == 4  # texts for the model, for their grams and to be weighed; and the grams
+    grams = plan.rsplit("FlatMapGroupsInArrow", 1)[1].split("Exchange hashpartitioning(batch", 1)
+    assert "Filter" not in grams[1].split("Exchange", 1)[0]  # else the texts are split before they move, and move again
