@@ -189,3 +189,37 @@ def test_texts_move_once_for_model_and_weights(spark):
     assert len(moved) == 4  # texts for the model, for their grams and to be weighed; and the grams
     grams = plan.rsplit("FlatMapGroupsInArrow", 1)[1].split("Exchange hashpartitioning(batch", 1)
     assert "Filter" not in grams[1].split("Exchange", 1)[0]  # else the texts are split before they move, and move again
+
+
+def test_scores_of_texts_equal_summed_gram_rows(spark):
+    """Two models at once, repeated and null ids, texts without known grams, other coefficients null."""
+    df = spark.createDataFrame(
+        [(1, "some words here here"), (2, "some other words"), (3, "some words"), (3, "others here"), (4, ""), (5, "zzzz"), (None, "some")],
+        "id long, text string")
+    model = V.fit_idf(df, "id", "text", 2, 1.0).withColumn("m0", F.col("df") * 0.5 - F.char_length("gram")).withColumn(
+        "m1", F.when(F.col("df") > 2, F.col("df") * 1.0))
+    known = model.select("gram", "idf", "m0", "m1").withColumn("idf2", F.when(F.col("m1").isNotNull(), F.col("idf"))).withColumn("m2", F.col("m1"))
+    got = {r.id: r for r in V.text_scores(known, df, "id", "text", [("idf", ["m0", "m1"]), ("idf2", ["m2"])]).collect()}
+    whole = V.tfidf_transform(model, df, "id", "text").groupBy("id").agg(
+        F.sum(F.col("weight") * F.col("m0")).alias("m0"), F.sum(F.col("weight") * F.col("m1")).alias("m1")).collect()
+    part = V.tfidf_transform(model.where("m1 IS NOT NULL"), df, "id", "text").groupBy("id").agg(
+        F.sum(F.col("weight") * F.col("m1")).alias("m2")).collect()
+    assert {r.id for r in whole} == {1, 2, 3, None} and all(i not in got or got[i].m0 is None for i in (4, 5))
+    for r in whole:
+        assert (got[r.id].m0, got[r.id].m1 or 0) == pytest.approx((r.m0, r.m1 or 0))
+    for r in part:
+        assert got[r.id].m2 == pytest.approx(r.m2)
+
+
+def test_scoring_lets_no_gram_rows_leave_the_batches(spark, small):
+    from sevscale.plans.feature_queries import score_models
+
+    plan = score_models(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "weight" not in plan and "partial" not in plan
+
+
+def test_document_frequencies_summed_by_blocks_equal_counted_rows(spark, monkeypatch):
+    monkeypatch.setattr(B, "WORDS", 3)
+    df = spark.createDataFrame([(i % 7, f"word{i % 4} again again") for i in range(20)], "id long, text string")
+    rows = V.gram_vocab(V.gram_counts(df, "id", "text"), V.n_rows(df), 1, 1.0)
+    assert sorted(map(tuple, V.fit_idf(df, "id", "text", 1, 1.0).select("gram", "df").collect())) == sorted(map(tuple, rows.collect()))
