@@ -133,3 +133,20 @@ def test_headers_without_or_with_repeated_names(spark, tmp_path):
 def test_files_without_rows(spark, tmp_path):
     (tmp_path / "f.csv").write_text("id,comment_text\n")
     assert comments.read_comments(spark, str(tmp_path / "f.csv"), comments.TEXT_SCHEMA).collect() == []
+
+
+def test_staging_leaves_no_shuffle_files_and_no_setting(spark, tmp_path):
+    """Loops stage a table a round: what a round shuffled goes with it, and the session keeps its own setting."""
+    def files():
+        folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        found = folder.getAllFiles().mkString("\n").split("\n")
+        return {f for f in found if "shuffle_" in f}
+
+    assert spark.conf.get(staging.CLEANUP) == "false"
+    before = files()
+    with staging._cleaned(spark):  # overlaps
+        rows = staging.stage(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counted")
+        assert spark.conf.get(staging.CLEANUP) == "true"
+    assert spark.conf.get(staging.CLEANUP) == "false"
+    assert not files() - before
+    assert rows.count() == 7
