@@ -229,6 +229,6 @@ def test_rows_without_words_carry_an_empty_list(spark):
     """Spark asks a batch for its size at every row, for which null lists are walked again from the first: quadratic."""
     texts = spark.createDataFrame([(i, f"word{i % 3} other") for i in range(6)], "id long, text string")
     known = spark.createDataFrame([(" wor", 1.0), ("word", 2.0)], "gram string, idf double")
-    both, _ = features._with_known(known, texts, "id", "text")
+    both, _ = V._with_known(known, texts, "id", "text")
     rows = both.collect()
     assert {r.kind for r in rows} == {0, 1} and all(r.words is not None for r in rows)
